@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import balltree, bpe, langid, lengths, mixing, neardup, pii, substring
+from lectern.llm import ann, balltree, bpe, html, langid, lengths, mixing, neardup, pii, substring
 from lectern.llm.common import table
 
 
@@ -15,6 +15,11 @@ def op1_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encodes and decodes every document with the 50k byte-level vocabulary."""
     return bpe.encode_digest(table(spark, sf_dir, "documents"), keep=["doc_id"])
@@ -25,6 +30,11 @@ def op4_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.components(table(spark, sf_dir, "documents"), words=2)
 
 
+def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest embeddings found for every twentieth one."""
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data of every document."""
     return pii.digest(pii.find(table(spark, sf_dir, "documents"), keep=["doc_id"]), "doc_id")
@@ -56,7 +66,7 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_substring, op3_bpe, op4_neardup, op6_pii, op7_lengths, op8_topk, op9_mixing, op10_langid)}
+    return {f.__name__: f for f in (op1_substring, op2_html, op3_bpe, op4_neardup, op5_ann, op6_pii, op7_lengths, op8_topk, op9_mixing, op10_langid)}
 
 
 def oracle_sql() -> dict[str, str]:
