@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from lectern.llm import textnum
 from lectern.llm.common import buckets_for
 
-#: Bytes of text in a chunk; a longer document is a chunk of its own.
-CHUNK = 6 << 20
+#: Bytes of text in a chunk; a longer document is a chunk of its own.  Arrays over its bytes take 8 times as much each.
+CHUNK = 1_900_000
 #: Flags of an entry: the run is a block, or it occurs more than once within its chunk.
 BLOCK, AGAIN = 1, 2
 

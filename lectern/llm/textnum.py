@@ -14,7 +14,6 @@ _WHITE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
-@lru_cache(maxsize=4)
 def _powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd number modulo 2**64, and those of its inverse."""
     out = []
@@ -25,12 +24,15 @@ def _powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
+_kept_powers = lru_cache(maxsize=4)(_powers)
+
+
 def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """At least ``n`` powers, from a small set of sizes."""
     size = 1 << 16
     while size < n:
         size *= 2
-    return _powers(base, size)
+    return _kept_powers(base, size) if size <= 1 << 21 else _powers(base, size)
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
