@@ -20,10 +20,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm import textnum
-from lectern.llm.common import buckets_for
+from lectern.llm.common import shuffle_partitions
 
 #: Bytes of text in a chunk; a longer document is a chunk of its own.  Arrays over its bytes take 8 times as much each.
 CHUNK = 1_900_000
+#: Bytes of text for each partition, so that the entries of one fit in memory at any size of the table.
+PARTITION = 16 << 20
 #: Flags of an entry: the run is a block, or it occurs more than once within its chunk.
 BLOCK, AGAIN = 1, 2
 
@@ -256,11 +258,12 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
 
     Null, empty and short texts have nothing removed.  Whole texts are used, however long.  Equal rows repeat each
     other.  Keys may be of any type and need not be distinct; extra columns are ignored; an empty table gives no rows.
-    A partition holds about ``32 MB`` of input, so their number grows with the table.
+    A partition holds about ``PARTITION`` bytes of text, so their number grows with the table.
     """
     spark, block = docs.sparkSession, (window + 1) // 2
     slim = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("string").alias("text"))
-    parts = buckets_for(docs)
+    size = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(shuffle_partitions(spark), -(-size // PARTITION))
     packed = slim.mapInArrow(_pack(parts), "part int, name bigint, body binary").rdd
     chunks = packed.map(lambda r: (r[0], (r[1], bytes(r[2])))).partitionBy(parts, _same)
     # a union of equally partitioned sets stays where it is: from here on only probes and answers move
