@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Words remembered by a worker, and pairs of tokens; both are only caches.
-CACHE_WORDS, CACHE_PAIRS = 300_000, 500_000
+CACHE_WORDS, CACHE_PAIRS = 120_000, 200_000
 
 
 def _byte_symbols() -> dict[str, int]:
@@ -235,7 +235,7 @@ def tokenizer(path: str) -> TrieBpe:
     return TrieBpe(path)
 
 
-def _slices(batches: Iterator[pa.RecordBatch], rows: int = 4096, size: int = 12 << 20) -> Iterator[pa.RecordBatch]:
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 4096, size: int = 6 << 20) -> Iterator[pa.RecordBatch]:
     """The rows in slices of about ``size`` bytes of the last column, or of one longer row."""
     for batch in batches:
         at = 0
@@ -260,11 +260,14 @@ def _mapped(docs: DataFrame, text: str, keep: list[str], added: list[tuple[str,
         import public_tokenizers
 
         bpe = tokenizer(path or public_tokenizers.path("byte_bpe_50k.json"))
-        for batch in _slices(batches):
-            texts = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
-            columns = make(bpe, texts)
-            arrays = [pa.array(c, kind) for c, (_, _, kind) in zip(columns, added, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *arrays], names=[*names, *(a for a, _, _ in added)])
+        try:
+            for batch in _slices(batches):
+                texts = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
+                columns = make(bpe, texts)
+                arrays = [pa.array(c, kind) for c, (_, _, kind) in zip(columns, added, strict=True)]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *arrays], names=[*names, *(a for a, _, _ in added)])
+        finally:  # a worker that goes on to other work holds no words
+            bpe.words, bpe.older, bpe.pairs = {}, {}, {}
 
     return chosen.mapInArrow(run, schema)
 

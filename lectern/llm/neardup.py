@@ -96,7 +96,7 @@ def _fingerprint(shingles: np.ndarray) -> bytes:
     return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
 
 
-def _slices(batch: pa.RecordBatch, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def _slices(batch: pa.RecordBatch, size: int = 1_900_000) -> Iterator[pa.RecordBatch]:
     """Rows of about ``size`` bytes of the second column, or one longer row."""
     import pyarrow.compute as pc
 
