@@ -21,6 +21,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern.llm.common import in_small_batches
+
 #: Words remembered by a worker, and pairs of tokens; both are only caches.
 CACHE_WORDS, CACHE_PAIRS = 120_000, 200_000
 
@@ -269,7 +271,7 @@ def _mapped(docs: DataFrame, text: str, keep: list[str], added: list[tuple[str,
         finally:  # a worker that goes on to other work holds no words
             bpe.words, bpe.older, bpe.pairs = {}, {}, {}
 
-    return chosen.mapInArrow(run, schema)
+    return in_small_batches(chosen).mapInArrow(run, schema)
 
 
 def encode(docs: DataFrame, *, text: str = "text", keep: list[str], path: str | None = None) -> DataFrame:
@@ -299,7 +301,7 @@ def decode(encoded: DataFrame, *, ids: str = "ids", keep: list[str], path: str |
             texts = [bpe.decode(x.as_py() or b"") for x in batch.column(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], names=[*names, "decoded"])
 
-    return chosen.mapInArrow(run, schema)
+    return in_small_batches(chosen).mapInArrow(run, schema)
 
 
 def encode_digest(docs: DataFrame, *, text: str = "text", keep: list[str], path: str | None = None) -> DataFrame:

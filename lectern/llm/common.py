@@ -28,6 +28,19 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Bytes in an Arrow batch on its way to Python; rows of text differ too much for a number of rows to bound them.
+BATCH_BYTES = 4 << 20
+
+
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """``df``, its session set so that Arrow batches hold at most about ``BATCH_BYTES``, in the JVM's buffers as in Python's."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    digits = "".join(c for c in conf.get(name, "0") if c.isdigit())
+    if not digits or int(digits) > BATCH_BYTES or not conf.get(name).rstrip("b").isdigit():
+        conf.set(name, str(BATCH_BYTES))
+    return df
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     """The session's number of shuffle partitions."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -46,7 +59,6 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     re-hung on smaller ids.  Every round is a pair of aggregations over the edges; nothing but a count of
     unsettled edges comes to the driver.
     """
-    spark = edges.sparkSession
     e = checkpointed(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     for _ in range(max_rounds):
         both = e.select("u", "v").unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -69,7 +81,6 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             break
     else:
         raise RuntimeError("components did not settle")
-    _ = spark
     return e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionAll(
         e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     )

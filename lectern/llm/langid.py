@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lectern.llm.common import in_small_batches
+
 HAS_LETTER = r"\p{L}"
 
 
@@ -115,7 +117,7 @@ def identify(
             columns = [*batch.columns[:-1], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())]
             yield pa.RecordBatch.from_arrays(columns, names=[*names, *own])
 
-    return chosen.mapInArrow(run, out_schema)
+    return in_small_batches(chosen).mapInArrow(run, out_schema)
 
 
 def held_out(key: Column) -> Column:

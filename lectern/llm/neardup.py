@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm import textnum
-from lectern.llm.common import buckets_for, checkpointed, connected_components
+from lectern.llm.common import buckets_for, checkpointed, connected_components, in_small_batches
 
 #: At similarity 0.8 a pair misses all bands with probability (1 - 0.8**6)**48 < 5e-7.
 BANDS, ROWS = 48, 6
@@ -110,13 +110,24 @@ def _slices(batch: pa.RecordBatch, size: int = 1_900_000) -> Iterator[pa.RecordB
         at = end
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], rows: int = 20_000) -> Iterator[pa.Table]:
+    """Batches put together to about ``rows`` rows."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= rows:
+            yield pa.Table.from_batches(held)
+            held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held)
+
+
 def _deal(parts: int):
     """Band keys and ids of a batch, packed by the partition they go to."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            ids = np.repeat(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), BANDS)
+        for batch in _gathered(batches):
+            ids = np.repeat(batch.column(0).to_numpy().astype(np.int64), BANDS)
             keys = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint64)
             to = (keys % np.uint64(parts)).astype(np.int64)
             order = np.argsort(to, kind="stable")
@@ -281,7 +292,7 @@ def components(docs: DataFrame, *, key: str = "doc_id", text: str = "text", word
     if percent < 80:
         raise ValueError("bands are chosen for a similarity of 0.8 or more")
     parts = buckets_for(docs)
-    slim = docs.select(F.col(f"`{key}`").cast("bigint").alias("id"), F.col(f"`{text}`").alias("text"))
+    slim = in_small_batches(docs).select(F.col(f"`{key}`").cast("bigint").alias("id"), F.col(f"`{text}`").alias("text"))
     signed = checkpointed(slim.mapInArrow(_signatures(words), "id bigint, n_shingles bigint, print binary, sketch binary, bands binary"))
     some = signed.where("print is not null")
     classes = some.groupBy("print").agg(F.min("id").alias("rep"))

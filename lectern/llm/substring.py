@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm import textnum
-from lectern.llm.common import shuffle_partitions
+from lectern.llm.common import in_small_batches, shuffle_partitions
 
 #: Bytes of text in a chunk; a longer document is a chunk of its own.  Arrays over its bytes take 8 times as much each.
 CHUNK = 1_900_000
@@ -261,7 +261,7 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     A partition holds about ``PARTITION`` bytes of text, so their number grows with the table.
     """
     spark, block = docs.sparkSession, (window + 1) // 2
-    slim = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("string").alias("text"))
+    slim = in_small_batches(docs).select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("string").alias("text"))
     size = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(shuffle_partitions(spark), -(-size // PARTITION))
     packed = slim.mapInArrow(_pack(parts), "part int, name bigint, body binary").rdd
