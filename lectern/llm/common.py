@@ -35,8 +35,8 @@ BATCH_BYTES = 4 << 20
 def in_small_batches(df: DataFrame) -> DataFrame:
     """``df``, its session set so that Arrow batches hold at most about ``BATCH_BYTES``, in the JVM's buffers as in Python's."""
     conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
-    digits = "".join(c for c in conf.get(name, "0") if c.isdigit())
-    if not digits or int(digits) > BATCH_BYTES or not conf.get(name).rstrip("b").isdigit():
+    now = conf.get(name).rstrip("b")
+    if not now.isdigit() or int(now) > BATCH_BYTES:
         conf.set(name, str(BATCH_BYTES))
     return df
 
