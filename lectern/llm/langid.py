@@ -30,10 +30,16 @@ def train_dictionaries(
     """
     from pyspark.sql import Window
 
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("key"), "key", "sample")
+    chosen = [F.xxhash64("key"), F.col("key"), F.col("sample")]
+    order = Window.partitionBy("lang").orderBy(*chosen)
+    # first within parts of a language, so that the whole of a common one is never in one task
+    in_part = Window.partitionBy("lang", "part").orderBy(*chosen)
     rows = (
         labelled.select(F.col(lang).alias("lang"), F.col(key).alias("key"), F.lower(F.substring(text, 1, excerpt_chars)).alias("sample"))
         .where(F.col("lang").isNotNull() & F.col("sample").isNotNull() & F.col("sample").rlike(HAS_LETTER))
+        .withColumn("part", F.pmod(F.xxhash64("key", F.lit(1)), F.lit(256)))
+        .withColumn("rank", F.row_number().over(in_part))
+        .where(F.col("rank") <= docs_per_language)
         .withColumn("rank", F.row_number().over(order))
         .where(F.col("rank") <= docs_per_language)
         .collect()
