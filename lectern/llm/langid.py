@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from lectern.llm.common import in_small_batches
 
 HAS_LETTER = r"\p{L}"
+#: Parts of a language among which its sample is chosen.
+PARTS = 256
 
 
 def train_dictionaries(
@@ -37,9 +39,9 @@ def train_dictionaries(
     rows = (
         labelled.select(F.col(lang).alias("lang"), F.col(key).alias("key"), F.lower(F.substring(text, 1, excerpt_chars)).alias("sample"))
         .where(F.col("lang").isNotNull() & F.col("sample").isNotNull() & F.col("sample").rlike(HAS_LETTER))
-        .withColumn("part", F.pmod(F.xxhash64("key", F.lit(1)), F.lit(256)))
+        .withColumn("part", F.pmod(F.xxhash64("key", F.lit(1)), F.lit(PARTS)))
         .withColumn("rank", F.row_number().over(in_part))
-        .where(F.col("rank") <= docs_per_language)
+        .where(F.col("rank") <= -(-2 * docs_per_language // PARTS))  # twice an even share; at most so many rows go on
         .withColumn("rank", F.row_number().over(order))
         .where(F.col("rank") <= docs_per_language)
         .collect()
