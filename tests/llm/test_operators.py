@@ -139,7 +139,7 @@ def test_personal_data(spark):
 def test_top_k_with_ties(spark):
     rng = np.random.default_rng(3)
     rows = [(i, [float(x) for x in rng.integers(-2, 3, 6) / 4]) for i in range(700)]
-    bad = [(5000, None), (5050, [1.0, None, 0, 0, 0, 0]), (5100, [float("nan")] * 6), (5150, [float("inf")] * 6)]
+    bad = [(5000, None), (5050, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (5100, [float("nan")] * 6), (5150, [float("inf")] * 6)]
     got = balltree.top_k(spark.createDataFrame(rows + bad, "vec_id long, embedding array<double>"), shard_rows=150, query_block=8)
     x = np.floor(np.array([r[1] for r in rows]) * 256).astype(np.int64)
     want = set()
