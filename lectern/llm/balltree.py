@@ -134,7 +134,7 @@ def top_k(vectors: DataFrame, *, key: str = "vec_id", vector: str = "embedding",
     shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-asked // query_block))
     placed = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
     queries = placed.where(F.col("vec_id") % query_every == 0).withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int"))
-    queries = queries.select(F.col("vec_id").alias("query_id"), "vec", F.col("shard").alias("home"), "block")
+    queries = queries.select(F.col("vec_id").alias("query_id"), F.col("vec").alias("vec"), F.col("shard").alias("home"), "block")
     copies = placed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     lowest = F.lit(float("-inf"))
     cells = lambda q: copies.groupBy("shard", "block").cogroup(q.groupBy("shard", "block")).applyInPandas(_cell(k), RESULT)
