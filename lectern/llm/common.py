@@ -46,9 +46,19 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+#: From this size on, an estimate is Spark's mark for "unknown" (2^63 - 1, or what a plan makes of it).
+UNKNOWN_BYTES = 1 << 60
+
+
 def buckets_for(df: DataFrame, bytes_each: int = 32 << 20) -> int:
-    """Partitions for work on ``df``: the session's shuffle partitions, or more if a partition would exceed ``bytes_each`` of input."""
+    """Partitions for work on ``df``: the session's shuffle partitions, or more if a partition would exceed ``bytes_each`` of input.
+
+    Spark gives rows that don't come from files (such as ``createDataFrame``) the session's default size, which stands for
+    unknown; then the session's number holds.
+    """
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if size >= UNKNOWN_BYTES:
+        return shuffle_partitions(df.sparkSession)
     return max(shuffle_partitions(df.sparkSession), min(100_000, -(-size // bytes_each)))
 
 
