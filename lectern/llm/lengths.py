@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.llm.common import checkpointed
+
 #: Lengths in a block of the suffix sums.
 BLOCK = 1024
 
@@ -18,10 +20,11 @@ def length_histogram(lengths: DataFrame, *, n_tokens: str = "n_tokens", block: i
     length times ``docs_ge``.  Null lengths count as 0; an empty table gives no rows.
 
     Counting combines on the map side, so a length that a third of the documents share is one row per task.
+    The counts, one row per length, are kept before the sums use them twice, so lengths are computed once.
     The sums run in two levels, inside blocks of ``block`` lengths and over block totals.
     """
     hist = lengths.groupBy(F.coalesce(F.col(n_tokens), F.lit(0)).cast("long").alias("n_tokens")).agg(F.count("*").alias("n_docs"))
-    hist = hist.withColumn("block", F.floor(F.col("n_tokens") / block)).withColumn("tokens", F.col("n_tokens") * F.col("n_docs"))
+    hist = checkpointed(hist).withColumn("block", F.floor(F.col("n_tokens") / block)).withColumn("tokens", F.col("n_tokens") * F.col("n_docs"))
     blocks = hist.groupBy("block").agg(F.sum("n_docs").alias("b_docs"), F.sum("tokens").alias("b_tokens"))
     # one row per block of lengths that occurs: as many as the longest document has blocks, not as there are documents
     above = Window.orderBy(F.col("block").desc()).rowsBetween(Window.unboundedPreceding, -1)
