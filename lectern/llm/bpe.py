@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from lectern.llm.common import in_small_batches
 
-#: Words remembered by a worker, and pairs of tokens; both are only caches.
-CACHE_WORDS, CACHE_PAIRS = 120_000, 200_000
+#: Chunks of text remembered by a worker, and pairs of tokens; both are only caches.
+CACHE_CHUNKS, CACHE_PAIRS = 150_000, 200_000
 
 
 def _byte_symbols() -> dict[str, int]:
@@ -73,7 +73,7 @@ class TrieBpe:
                 self.halves[token] = (rank, a, b)
         self.sizes = {i: len(b) for i, b in self.pieces.items()}
         self.edges: dict[tuple[int, bool], list[tuple[int, float]]] = {}
-        self.words: dict[str, bytes] = {}
+        self.chunks: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.pairs: dict[int, bool] = {}
         self.whole: dict[int, bool] = {}
@@ -129,8 +129,9 @@ class TrieBpe:
                     return False
         return True
 
-    def encode_words(self, words: list[str]) -> None:
-        """Puts the encodings of distinct words into the cache, in one depth-first pass over their trie."""
+    def encode_words(self, words: set[str]) -> dict[str, bytes]:
+        """The encodings of distinct words, found in one depth-first pass over their trie."""
+        codes: dict[str, bytes] = {}
         ids, longest, pairs, size = self.ids.get, self.longest, self.pairs, self.sizes
         if len(pairs) > CACHE_PAIRS:
             pairs.clear()
@@ -162,8 +163,9 @@ class TrieBpe:
             while end:
                 out.append(last[end])
                 end -= size[last[end]]
-            self.words[word] = array("I", reversed(out)).tobytes()
+            codes[word] = array("I", reversed(out)).tobytes()
             before = data
+        return codes
 
     def _split(self, text: str) -> list[str]:
         if self.latin(text):
@@ -187,8 +189,8 @@ class TrieBpe:
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers.
 
-        Chunks repeat, and each distinct one of the batch is split into words once; the first of a part stands
-        without its space.
+        Chunks repeat: those not remembered are split into words once a batch, and the distinct words encoded together.
+        The first chunk of a part stands without its space and is not remembered.
         """
         heads, rest = set(), set()
         for text in texts:
@@ -196,24 +198,19 @@ class TrieBpe:
                 chunks = self._chunks(part)
                 heads.add(chunks[0])
                 rest.update(chunks[1:])
-        split = {c: self._split(c) for c in heads}
-        split |= {c: self._split(c) for c in (" " + c for c in rest)}
-        words = {w for ws in split.values() for w in ws}
-        if len(self.words) > CACHE_WORDS:
-            self.words, self.older = {}, self.words
-        found, older = self.words, self.older
-        new = []
-        for w in words:
-            if w not in found:
-                if (known := older.get(w)) is None:
-                    new.append(w)
-                else:
-                    found[w] = known
-        self.encode_words(new)
-        get = found.__getitem__
-        whole = {c: b"".join(map(get, ws)) for c, ws in split.items() if c in heads}
-        spaced = {c: b"".join(map(get, split[" " + c])) for c in rest}
-        get, out = spaced.__getitem__, []
+        if len(self.chunks) > CACHE_CHUNKS:
+            self.chunks, self.older = {}, self.chunks
+        found, older = self.chunks, self.older
+        new = rest - found.keys()
+        if older:
+            found.update((c, older[c]) for c in new & older.keys())
+            new -= found.keys()
+        first = {c: self._split(c) for c in heads}
+        split = {c: self._split(" " + c) for c in new}
+        code = self.encode_words({w for part in (first, split) for ws in part.values() for w in ws}).__getitem__
+        whole = {c: b"".join(map(code, ws)) for c, ws in first.items()}
+        found.update((c, code(ws[0]) if len(ws) == 1 else b"".join(map(code, ws))) for c, ws in split.items())
+        get, out = found.__getitem__, []
         for text in texts:
             pieces = []
             for i, part in enumerate(self._parts(text)):
@@ -269,7 +266,7 @@ def _mapped(docs: DataFrame, text: str, keep: list[str], added: list[tuple[str,
                 arrays = [pa.array(c, kind) for c, (_, _, kind) in zip(columns, added, strict=True)]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *arrays], names=[*names, *(a for a, _, _ in added)])
         finally:  # a worker that goes on to other work holds no words
-            bpe.words, bpe.older, bpe.pairs = {}, {}, {}
+            bpe.chunks, bpe.older, bpe.pairs = {}, {}, {}
 
     return in_small_batches(chosen).mapInArrow(run, schema)
 
