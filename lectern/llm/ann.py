@@ -23,8 +23,10 @@ from lectern.llm.balltree import usable
 
 DEGREE, TREES, LEAF, ROUNDS = 40, 8, 1500, 3
 #: Nodes a query keeps, and expands in each of the search rounds.
-BEAM, WIDTH, STEPS = 80, 24, 3
+BEAM, WIDTH, STEPS = 160, 48, 4
 EDGE = "a bigint, b bigint, s float"
+#: Edges a task holds before it keeps only the best of them, and oversized leaves that may be broadcast (16 bytes each).
+HELD, SMALL = 2_000_000, 100_000
 
 
 def _bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -69,7 +71,7 @@ def _arrow(batches: Iterator[pa.RecordBatch]) -> pa.Table | None:
 
 
 def _leaves(degree: int, leaf: int):
-    """Compares the rows of each leaf; a leaf larger than ``leaf`` (many equal rows) in pieces."""
+    """Compares the rows of each leaf; a leaf larger than ``leaf`` in pieces."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = _arrow(batches)
         if t is None:
@@ -78,6 +80,7 @@ def _leaves(degree: int, leaf: int):
         order = np.lexsort((ids, leaves))
         cuts = np.append(np.flatnonzero(np.concatenate([[True], np.diff(leaves[order]) != 0])), len(order))
         found: list = [[], [], []]
+        held = 0
         for a, b in zip(cuts[:-1], cuts[1:]):
             for at in range(a, b, leaf):
                 rows = order[at : min(b, at + leaf)]
@@ -91,6 +94,11 @@ def _leaves(degree: int, leaf: int):
                 found[0].append(np.repeat(ids[rows], k))
                 found[1].append(ids[rows][near.ravel()])
                 found[2].append(np.take_along_axis(s, near, axis=1).ravel())
+                held += near.size
+                if held > HELD:
+                    best = _best(*map(np.concatenate, found), degree)
+                    yield from _edges(*best)
+                    found, held = [[], [], []], 0
         if found[0]:
             yield from _edges(*_best(*map(np.concatenate, found), degree))
 
@@ -127,7 +135,7 @@ def _join_locally(degree: int):
             found[1].append(own[j])
             found[2].append(s[i, j])
             held += len(i)
-            if held > 4_000_000:
+            if held > HELD:
                 best = _best(*map(np.concatenate, found), degree)
                 found, held = [[c] for c in best], len(best[0])
         if found[0]:
@@ -149,12 +157,23 @@ def _leaf_numbers(dims: int, depth: int, seed: int):
     return run
 
 
+def _split_leaves(dealt: DataFrame, leaf: int) -> DataFrame:
+    """``dealt`` with leaves of more than ``leaf`` rows, such as rows all alike, cut by hashed ids into leaves of half that size."""
+    large = checkpointed(dealt.groupBy("leaf").agg(F.count("*").alias("rows")).where(F.col("rows") > leaf))
+    found = large.count()
+    if not found:
+        return dealt
+    piece = F.pmod(F.xxhash64("id"), F.ceil(F.col("rows") * 2 / leaf))
+    joined = dealt.join(F.broadcast(large) if found <= SMALL else large, "leaf", "left")
+    return joined.select("id", "code", "scale", F.when(F.col("rows").isNull(), F.col("leaf")).otherwise(F.xxhash64("leaf", piece)).alias("leaf"))
+
+
 def build_graph(codes: DataFrame, dims: int, n: int, *, degree: int = DEGREE, rounds: int = ROUNDS, seed: int = 5) -> DataFrame:
     """``(a, b, s)``: up to ``degree`` neighbours ``b`` of every row ``a``, with approximate inner products."""
     parts = max(shuffle_partitions(codes.sparkSession), -(-n // 20_000))
     depth = max(0, int(np.ceil(np.log2(max(1, n / (LEAF * 0.7))))))
     dealt = codes.mapInArrow(_leaf_numbers(dims, depth, seed), "id bigint, code binary, scale float, leaf bigint")
-    met = dealt.repartition(parts, "leaf").mapInArrow(_leaves(degree, LEAF * 2), EDGE)
+    met = _split_leaves(dealt, LEAF * 2).repartition(parts, "leaf").mapInArrow(_leaves(degree, LEAF * 2), EDGE)
     graph = checkpointed(met.repartition(parts, "a").mapInArrow(_top(degree), EDGE))
     half = degree // 2 + degree // 4
     for r in range(rounds):
