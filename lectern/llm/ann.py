@@ -26,7 +26,11 @@ DEGREE, TREES, LEAF, ROUNDS = 40, 8, 1500, 3
 BEAM, WIDTH, STEPS = 160, 48, 4
 EDGE = "a bigint, b bigint, s float"
 #: Edges a task holds before it keeps only the best of them, and oversized leaves that may be broadcast (16 bytes each).
-HELD, SMALL = 2_000_000, 100_000
+HELD, SMALL = 500_000, 100_000
+#: Rows of a leaf compared with the rest at once.
+BLOCK = 256
+#: Nodes whose neighbours' vectors a task unpacks at once.
+NODES = 512
 
 
 def _bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,14 +91,16 @@ def _leaves(degree: int, leaf: int):
                 if len(rows) < 2:
                     continue
                 x = _matrix(t.column("code").take(pa.array(rows)).to_pylist(), t.column("scale").to_numpy()[rows])
-                s = x @ x.T
-                np.fill_diagonal(s, -np.inf)
                 k = min(degree, len(rows) - 1)
-                near = np.argpartition(-s, k - 1, axis=1)[:, :k]
-                found[0].append(np.repeat(ids[rows], k))
-                found[1].append(ids[rows][near.ravel()])
-                found[2].append(np.take_along_axis(s, near, axis=1).ravel())
-                held += near.size
+                for row in range(0, len(rows), BLOCK):
+                    s = x[row : row + BLOCK] @ x.T
+                    own = np.arange(len(s))
+                    s[own, row + own] = -np.inf
+                    near = np.argpartition(s, len(rows) - k, axis=1)[:, len(rows) - k :]
+                    found[0].append(np.repeat(ids[rows[row : row + BLOCK]], k))
+                    found[1].append(ids[rows][near.ravel()])
+                    found[2].append(np.take_along_axis(s, near, axis=1).ravel())
+                held += k * len(rows)
                 if held > HELD:
                     best = _best(*map(np.concatenate, found), degree)
                     yield from _edges(*best)
@@ -120,15 +126,17 @@ def _join_locally(degree: int):
         t = _arrow(batches)
         if t is None:
             return
+        t = t.take(pa.array(np.argsort(t.column("u").to_numpy(), kind="stable")))
         node, ids, worst = (t.column(c).to_numpy() for c in ("u", "id", "worst"))
-        x = _matrix(t.column("code").to_pylist(), t.column("scale").to_numpy())
-        order = np.argsort(node, kind="stable")
-        cuts = np.append(np.flatnonzero(np.concatenate([[True], np.diff(node[order]) != 0])), len(order))
+        cuts = np.append(np.flatnonzero(np.concatenate([[True], np.diff(node) != 0])), len(node))
         found: list = [[], [], []]
         held = 0
-        for a, b in zip(cuts[:-1], cuts[1:]):
-            rows = order[a:b]
-            s = x[rows] @ x[rows].T
+        for at, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
+            if at % NODES == 0:  # vectors of the next nodes only
+                begin, part = a, t.slice(a, cuts[min(at + NODES, len(cuts) - 1)] - a)
+                x = _matrix(part.column("code").to_pylist(), part.column("scale").to_numpy())
+            rows = slice(a, b)
+            s = x[a - begin : b - begin] @ x[a - begin : b - begin].T
             own = ids[rows]
             i, j = np.nonzero((s > worst[rows][:, None]) & (own[:, None] != own[None, :]))
             found[0].append(own[i])
@@ -180,9 +188,10 @@ def build_graph(codes: DataFrame, dims: int, n: int, *, degree: int = DEGREE, ro
         worst = graph.groupBy("a").agg(F.when(F.count("*") >= degree, F.min("s")).otherwise(F.lit(float("-inf")).cast("float")).alias("worst"))
         known = codes.join(worst, codes.id == worst.a, "left").select("id", "code", "scale", F.coalesce("worst", F.lit(float("-inf")).cast("float")).alias("worst"))
         # a sample of the neighbours in either direction, as NN-descent joins; what it misses the next round meets
-        by = lambda c: Window.partitionBy(c).orderBy(F.xxhash64("a", "b", F.lit(seed + r)))  # noqa: B023, E731
-        ahead = graph.withColumn("k", F.row_number().over(by("a"))).where(F.col("k") <= half).select(F.col("a").alias("u"), F.col("b").alias("v"))
-        back = graph.withColumn("k", F.row_number().over(by("b"))).where(F.col("k") <= half).select(F.col("b").alias("u"), F.col("a").alias("v"))
+        # (three of four ahead; back at most ``half``, as a row may be the neighbour of very many)
+        order = F.xxhash64("a", "b", F.lit(seed + r))
+        ahead = graph.where(F.pmod(order, F.lit(4)) < 3).select(F.col("a").alias("u"), F.col("b").alias("v"))
+        back = graph.withColumn("k", F.row_number().over(Window.partitionBy("b").orderBy(order, "a"))).where(F.col("k") <= half).select(F.col("b").alias("u"), F.col("a").alias("v"))
         around = ahead.unionAll(back).distinct().join(known, F.col("v") == known.id).select("u", "id", "code", "scale", "worst")
         met = around.repartition(parts, "u").mapInArrow(_join_locally(degree), EDGE)
         graph = checkpointed(graph.unionAll(met).repartition(parts, "a").mapInArrow(_top(degree), EDGE))
