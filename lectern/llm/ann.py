@@ -25,7 +25,7 @@ DEGREE, TREES, LEAF, ROUNDS = 40, 8, 1500, 3
 #: Nodes a query keeps, and expands in each of the search rounds.
 BEAM, WIDTH, STEPS = 160, 48, 4
 EDGE = "a bigint, b bigint, s float"
-#: Edges a task holds before it keeps only the best of them, and oversized leaves that may be broadcast (16 bytes each).
+#: Edges a task holds before it passes on the best of them, and oversized leaves that may be broadcast (16 bytes each).
 HELD, SMALL = 500_000, 100_000
 #: Rows of a leaf compared with the rest at once.
 BLOCK = 256
@@ -102,8 +102,7 @@ def _leaves(degree: int, leaf: int):
                     found[2].append(np.take_along_axis(s, near, axis=1).ravel())
                 held += k * len(rows)
                 if held > HELD:
-                    best = _best(*map(np.concatenate, found), degree)
-                    yield from _edges(*best)
+                    yield from _edges(*_best(*map(np.concatenate, found), degree))
                     found, held = [[], [], []], 0
         if found[0]:
             yield from _edges(*_best(*map(np.concatenate, found), degree))
@@ -144,8 +143,8 @@ def _join_locally(degree: int):
             found[2].append(s[i, j])
             held += len(i)
             if held > HELD:
-                best = _best(*map(np.concatenate, found), degree)
-                found, held = [[c] for c in best], len(best[0])
+                yield from _edges(*_best(*map(np.concatenate, found), degree))
+                found, held = [[], [], []], 0
         if found[0]:
             yield from _edges(*_best(*map(np.concatenate, found), degree))
 
