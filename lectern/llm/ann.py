@@ -2,15 +2,19 @@
 
 1. Every row gets starting neighbours: random hyperplanes deal the rows to leaves several times, and each leaf is compared whole.
 2. NN-descent: a row's neighbours and those that have it as a neighbour are joined with each other, because
-   neighbours of neighbours tend to be neighbours; each row keeps the best it has met.  Repeated as Spark joins.
+   neighbours of neighbours tend to be neighbours; each row keeps the best it has met.  Repeated as Spark joins until a
+   round replaces few of the edges.
 3. A query walks the graph greedily: the best nodes not yet expanded are expanded, in joins for all queries at once,
-   and finally the best nodes found are scored exactly on the original vectors.
+   until none of its best nodes is left to expand, and finally these are scored exactly on the original vectors.
+4. How many best nodes a query keeps is not fixed: a sample of the queries is also compared with all rows, and while too
+   few of its true neighbours are found, all queries walk on with twice as many.
 
 Up to the last step vectors are bytes with a scale each, a quarter of their size.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,10 +25,16 @@ from pyspark.sql import functions as F
 from lectern.llm.common import checkpointed, shuffle_partitions
 from lectern.llm.balltree import usable
 
-DEGREE, TREES, LEAF, ROUNDS = 40, 8, 1500, 3
-#: Nodes a query keeps, and expands in each of the search rounds.
-BEAM, WIDTH, STEPS = 160, 48, 4
+DEGREE, TREES, LEAF = 40, 8, 1500
+#: NN-descent ends with the round that replaces no more than this share of the edges.
+REPLACED = 0.02
+#: Nodes a query keeps at first, and the share of them it expands in a step.
+BEAM, WIDTH = 160, 0.3
+#: Queries compared with all rows, and the share of their true neighbours that has to be found.
+SAMPLE, RECALL = 256, 0.95
 EDGE = "a bigint, b bigint, s float"
+#: An edge of the graph, and 1 if the last round brought it.
+GRAPH = EDGE + ", fresh int"
 #: Edges a task holds before it passes on the best of them, and oversized leaves that may be broadcast (16 bytes each).
 HELD, SMALL = 500_000, 100_000
 #: Rows of a leaf compared with the rest at once.
@@ -48,25 +58,26 @@ def _matrix(codes: list[bytes], scales: np.ndarray) -> np.ndarray:
     return np.frombuffer(b"".join(codes), np.int8).reshape(len(codes), -1).astype(np.float32) * np.asarray(scales, np.float32)[:, None]
 
 
-def _best(a: np.ndarray, b: np.ndarray, s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each ``a`` the ``k`` distinct ``b`` of highest score."""
-    order = np.lexsort((b, -s, a))
-    a, b, s = a[order], b[order], s[order]
-    fresh = np.ones(len(a), bool)
-    pair = np.lexsort((b, a))
-    fresh[pair[1:]] = ~((a[pair][1:] == a[pair][:-1]) & (b[pair][1:] == b[pair][:-1]))
-    a, b, s = a[fresh], b[fresh], s[fresh]
+def _best(a: np.ndarray, b: np.ndarray, s: np.ndarray, k: int, fresh: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """Of each ``a`` the ``k`` distinct ``b`` of highest score; an edge met again stays as it was, not ``fresh``."""
+    columns = (a, b, s) if fresh is None else (a, b, s, fresh)
+    pair = np.lexsort((-s, b, a) if fresh is None else (-s, fresh, b, a))
+    first = np.ones(len(a), bool)
+    first[1:] = (a[pair][1:] != a[pair][:-1]) | (b[pair][1:] != b[pair][:-1])
+    pair = pair[first]
+    order = pair[np.lexsort((b[pair], -s[pair], a[pair]))]
+    a = a[order]
     first = np.concatenate([[True], a[1:] != a[:-1]]) if len(a) else np.empty(0, bool)
     starts = np.flatnonzero(first)
     rank = np.arange(len(a)) - np.repeat(starts, np.diff(np.append(starts, len(a))))
-    keep = rank < k
-    return a[keep], b[keep], s[keep]
+    keep = order[rank < k]
+    return tuple(c[keep] for c in columns)
 
 
-def _edges(a: np.ndarray, b: np.ndarray, s: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _edges(a: np.ndarray, b: np.ndarray, s: np.ndarray, *fresh: np.ndarray) -> Iterator[pa.RecordBatch]:
     for at in range(0, len(a), 100_000):
         p = slice(at, at + 100_000)
-        yield pa.RecordBatch.from_arrays([pa.array(a[p]), pa.array(b[p]), pa.array(s[p].astype(np.float32))], names=["a", "b", "s"])
+        yield pa.RecordBatch.from_arrays([pa.array(a[p]), pa.array(b[p]), pa.array(s[p].astype(np.float32)), *(pa.array(f[p]) for f in fresh)], names=["a", "b", "s", "fresh"][: 3 + len(fresh)])
 
 
 def _arrow(batches: Iterator[pa.RecordBatch]) -> pa.Table | None:
@@ -114,7 +125,8 @@ def _top(degree: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = _arrow(batches)
         if t is not None:
-            yield from _edges(*_best(*(t.column(c).to_numpy() for c in ("a", "b", "s")), degree))
+            a, b, s, fresh = (t.column(c).to_numpy() for c in ("a", "b", "s", "fresh"))
+            yield from _edges(*_best(a, b, s, degree, fresh))
 
     return run
 
@@ -175,15 +187,18 @@ def _split_leaves(dealt: DataFrame, leaf: int) -> DataFrame:
     return joined.select("id", "code", "scale", F.when(F.col("rows").isNull(), F.col("leaf")).otherwise(F.xxhash64("leaf", piece)).alias("leaf"))
 
 
-def build_graph(codes: DataFrame, dims: int, n: int, *, degree: int = DEGREE, rounds: int = ROUNDS, seed: int = 5) -> DataFrame:
-    """``(a, b, s)``: up to ``degree`` neighbours ``b`` of every row ``a``, with approximate inner products."""
+def build_graph(codes: DataFrame, dims: int, n: int, *, degree: int = DEGREE, replaced: float = REPLACED, seed: int = 5) -> DataFrame:
+    """``(a, b, s)``: up to ``degree`` neighbours ``b`` of every row ``a``, with approximate inner products.
+
+    Scores of a row's neighbours only rise, so the rounds come to an end at any size.
+    """
     parts = max(shuffle_partitions(codes.sparkSession), -(-n // 20_000))
     depth = max(0, int(np.ceil(np.log2(max(1, n / (LEAF * 0.7))))))
     dealt = codes.mapInArrow(_leaf_numbers(dims, depth, seed), "id bigint, code binary, scale float, leaf bigint")
     met = _split_leaves(dealt, LEAF * 2).repartition(parts, "leaf").mapInArrow(_leaves(degree, LEAF * 2), EDGE)
-    graph = checkpointed(met.repartition(parts, "a").mapInArrow(_top(degree), EDGE))
+    graph = checkpointed(met.withColumn("fresh", F.lit(1)).repartition(parts, "a").mapInArrow(_top(degree), GRAPH))
     half = degree // 2 + degree // 4
-    for r in range(rounds):
+    for r in itertools.count():
         worst = graph.groupBy("a").agg(F.when(F.count("*") >= degree, F.min("s")).otherwise(F.lit(float("-inf")).cast("float")).alias("worst"))
         known = codes.join(worst, codes.id == worst.a, "left").select("id", "code", "scale", F.coalesce("worst", F.lit(float("-inf")).cast("float")).alias("worst"))
         # a sample of the neighbours in either direction, as NN-descent joins; what it misses the next round meets
@@ -193,8 +208,10 @@ def build_graph(codes: DataFrame, dims: int, n: int, *, degree: int = DEGREE, ro
         back = graph.withColumn("k", F.row_number().over(Window.partitionBy("b").orderBy(order, "a"))).where(F.col("k") <= half).select(F.col("b").alias("u"), F.col("a").alias("v"))
         around = ahead.unionAll(back).distinct().join(known, F.col("v") == known.id).select("u", "id", "code", "scale", "worst")
         met = around.repartition(parts, "u").mapInArrow(_join_locally(degree), EDGE)
-        graph = checkpointed(graph.unionAll(met).repartition(parts, "a").mapInArrow(_top(degree), EDGE))
-    return graph
+        both = graph.withColumn("fresh", F.lit(0)).unionAll(met.withColumn("fresh", F.lit(1)))
+        graph = checkpointed(both.repartition(parts, "a").mapInArrow(_top(degree), GRAPH))
+        if (graph.agg(F.avg("fresh")).first()[0] or 0.0) <= replaced:
+            return graph.drop("fresh")
 
 
 def _expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,13 +227,75 @@ def _expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from pa.table({"a": t.column("query_id"), "b": t.column("id"), "s": pa.array(s[better].astype(np.float32))}).to_batches()
 
 
+def _nearest(sample: dict[int, np.ndarray], k: int):
+    """A task's ``k`` best rows for each query of ``sample``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, q = np.array(list(sample), np.int64), np.array(list(sample.values()))
+        best = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            own = batch.column(0).to_numpy()
+            s = q @ np.array(batch.column(1).to_pylist(), np.float64).T
+            i, j = np.nonzero(ids[:, None] != own[None, :])
+            met = (ids[i], own[j], s[i, j])
+            best = _best(*(np.concatenate(x) for x in zip(best, met)), k)
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in best], names=["query_id", "b", "score"])
+
+    return run
+
+
+def _floors(fine: DataFrame, query_every: int, k: int) -> DataFrame:
+    """``(query_id, floor, k)`` of ``SAMPLE`` queries: the score of the true ``k``-th best row, by comparison with every row; ``k`` is less where there are fewer rows."""
+    chosen = fine.where(F.col("vec_id") % query_every == 0).orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()
+    sample = {r["vec_id"]: np.array(r["vec"], np.float64) for r in chosen}
+    if not sample:
+        return fine.sparkSession.createDataFrame([], "query_id bigint, floor double, k bigint")
+    met = fine.select("vec_id", "vec").mapInArrow(_nearest(sample, k), "query_id bigint, b bigint, score double")
+    best = met.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "b"))).where(F.col("r") <= k)
+    return checkpointed(best.groupBy("query_id").agg(F.min("score").alias("floor"), F.count("*").alias("k")))
+
+
+def _scored(state: DataFrame, fine: DataFrame) -> DataFrame:
+    """``(query_id, vec_id, score)``: the nodes of ``state`` with inner products of the original vectors."""
+    pairs = state.select("query_id", F.col("b").alias("vec_id"))
+    exact = pairs.join(fine, "vec_id").join(fine.select(F.col("vec_id").alias("query_id"), F.col("vec").alias("q")), "query_id")
+    return exact.select("query_id", "vec_id", F.aggregate(F.zip_with("vec", "q", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x).alias("score"))
+
+
+def _recall(state: DataFrame, fine: DataFrame, floors: DataFrame) -> float:
+    """The share of the sample's true neighbours, or rows as good, that ``state`` holds."""
+    scores = _scored(state.join(F.broadcast(floors), "query_id", "left_semi"), fine)
+    good = F.sum((F.col("score") >= F.col("floor") - F.abs("floor") * 1e-9 - 1e-12).cast("bigint"))
+    found = F.broadcast(floors).join(scores, "query_id", "left").groupBy("query_id", "k").agg(F.least(F.coalesce(good, F.lit(0)), F.col("k")).alias("found"))
+    share = found.agg(F.sum("found") / F.sum("k")).first()[0]
+    return 1.0 if share is None else share
+
+
+def _walk(state: DataFrame, graph: DataFrame, codes: DataFrame, queries: DataFrame, beam: int) -> DataFrame:
+    """``state`` after each query has expanded every one of its ``beam`` best nodes."""
+    ahead = Window.partitionBy("query_id", "done").orderBy(F.desc("s"), "b")
+    width = int(beam * WIDTH)
+    while True:
+        state = checkpointed(state.withColumn("k", F.row_number().over(ahead)).withColumn("go", (F.col("done") == 0) & (F.col("k") <= width)).drop("k"))
+        if not state.where("go").limit(1).count():
+            return state.drop("go")
+        worst = state.groupBy("query_id").agg(F.when(F.count("*") >= beam, F.min("s")).otherwise(F.lit(float("-inf")).cast("float")).alias("worst"))
+        steps = state.where("go").select("query_id", F.col("b").alias("node")).join(graph.select("a", F.col("b").alias("id")), F.col("node") == F.col("a")).select("query_id", "id").where("query_id <> id").distinct()
+        fresh = steps.join(state.select("query_id", F.col("b").alias("id")), ["query_id", "id"], "left_anti")
+        scored = fresh.join(codes, "id").join(queries, "query_id").join(worst, "query_id").select("query_id", "id", "code", "scale", "q_code", "q_scale", "worst").mapInArrow(_expand, EDGE)
+        both = state.select("query_id", "b", "s", F.when(F.col("go"), 1).otherwise(F.col("done")).alias("done")).unionAll(scored.select(F.col("a").alias("query_id"), "b", "s", F.lit(0).alias("done")))
+        state = both.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("s"), "b"))).where(F.col("r") <= beam).drop("r")
+
+
 def search(vectors: DataFrame, *, key: str = "vec_id", vector: str = "embedding", query_every: int = 20, k: int = 20, degree: int = DEGREE) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: for every row whose id ``query_every`` divides, the ``k`` best other rows found.
 
     Scores are inner products of the original vectors in double precision; ties go to the smaller id.  Vectors null, zero or holding
     null or non-finite components take no part; vectors of another length than most raise no error but are left
     out.  Repeated ids count as one row each of the smallest vector.  Fewer than ``k`` candidates give that many rows, an empty table none; extra columns are
-    ignored.  Tables of up to ``LEAF`` rows are searched exactly, since one leaf holds them.
+    ignored.  However large the table, the search goes on until a sample of the queries has ``RECALL`` of its true neighbours.
+    Tables of up to ``LEAF`` rows are searched exactly, since one leaf holds them.
     """
     fine = usable(vectors, key=key, vector=vector).where(F.exists("vec", lambda x: x != 0))
     size = fine.groupBy(F.size("vec").alias("dims")).count().orderBy(F.desc("count"), "dims").first()
@@ -229,18 +308,14 @@ def search(vectors: DataFrame, *, key: str = "vec_id", vector: str = "embedding"
     graph = build_graph(codes, dims, n, degree=degree)
     queries = codes.where(F.col("id") % query_every == 0).select(F.col("id").alias("query_id"), F.col("code").alias("q_code"), F.col("scale").alias("q_scale"))
     state = graph.where(F.col("a") % query_every == 0).select(F.col("a").alias("query_id"), "b", "s", F.lit(0).alias("done"))
-    ahead = Window.partitionBy("query_id", "done").orderBy(F.desc("s"), "b")
-    for _ in range(STEPS if n > LEAF else 0):
-        state = checkpointed(state.withColumn("k", F.row_number().over(ahead)).withColumn("go", (F.col("done") == 0) & (F.col("k") <= WIDTH)).drop("k"))
-        worst = state.groupBy("query_id").agg(F.when(F.count("*") >= BEAM, F.min("s")).otherwise(F.lit(float("-inf")).cast("float")).alias("worst"))
-        steps = state.where("go").select("query_id", F.col("b").alias("node")).join(graph.select("a", F.col("b").alias("id")), F.col("node") == F.col("a")).select("query_id", "id").where("query_id <> id").distinct()
-        fresh = steps.join(state.select("query_id", F.col("b").alias("id")), ["query_id", "id"], "left_anti")
-        scored = fresh.join(codes, "id").join(queries, "query_id").join(worst, "query_id").select("query_id", "id", "code", "scale", "q_code", "q_scale", "worst").mapInArrow(_expand, EDGE)
-        both = state.select("query_id", "b", "s", F.when(F.col("go"), 1).otherwise(F.col("done")).alias("done")).unionAll(scored.select(F.col("a").alias("query_id"), "b", "s", F.lit(0).alias("done")))
-        state = both.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("s"), "b"))).where(F.col("r") <= BEAM).drop("r")
-    pairs = state.select("query_id", F.col("b").alias("vec_id"))
-    exact = pairs.join(fine, "vec_id").join(fine.select(F.col("vec_id").alias("query_id"), F.col("vec").alias("q")), "query_id")
-    exact = exact.select("query_id", "vec_id", F.aggregate(F.zip_with("vec", "q", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x).alias("score"))
+    floors, beam = _floors(fine, query_every, k), BEAM
+    while n > LEAF:
+        state = _walk(state, graph, codes, queries, beam)
+        # with room for every row, all that the graph reaches has been met
+        if beam >= n or _recall(state, fine, floors) >= RECALL:
+            break
+        beam, state = 2 * beam, state.withColumn("done", F.lit(0))
+    exact = _scored(state, fine)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return exact.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
