@@ -19,15 +19,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept in the shared checkpoint folder, so that a lost executor costs nothing.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (local tests) a temporary one is used.
+    The folder is the session's ``spark.checkpoint.dir``.  Only a local master may leave it unset and gets a temporary one:
+    elsewhere such a folder would be one machine's own disk.
     """
     spark = df.sparkSession
-    jsc = spark.sparkContext._jsc.sc()
-    if jsc.getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lectern-"))
+    context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="lectern-"))
     return df.checkpoint(eager=True)
 
 
+def released(df: DataFrame) -> None:
+    """Deletes the files of a checkpointed ``df`` that nothing will read again, such as a round's once the next is kept."""
+    file = df._jdf.queryExecution().logical().rdd().getCheckpointFile()
+    if file.isDefined():
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file.get())
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 #: Bytes in an Arrow batch on its way to Python; rows of text differ too much for a number of rows to bound them.
 BATCH_BYTES = 4 << 20
 
@@ -65,30 +77,27 @@ def buckets_for(df: DataFrame, bytes_each: int = 32 << 20) -> int:
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """``(id, component)`` for every end of ``edges(a, b)``; ``component`` is the smallest id reachable.
 
-    Alternates large-star and small-star steps, so a chain of n edges needs O(log n) rounds and a hub's edges are
-    re-hung on smaller ids.  Every round is a pair of aggregations over the edges; nothing but a count of
-    unsettled edges comes to the driver.
+    Edges hang larger ids ``u`` on smaller ones ``v``.  Rounds alternate a large-star and a small-star step, so a chain of n
+    edges needs O(log n) rounds.  An id with very many edges is a hot key of the joins, never of the aggregations, which combine
+    on the map side: the smallest ids are therefore kept before they are joined, so that both sides of a join are
+    plain exchanges and the adaptive planner can split a hot key's edges over tasks.  Nothing but a count of
+    unsettled edges comes to the driver, and a round's files go when the next round is kept.
+    Loops and repeated edges count for nothing; null ends must not occur; no edges give no rows.
     """
     e = checkpointed(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     for _ in range(max_rounds):
-        both = e.select("u", "v").unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low2 = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (
-            large.join(low2, "u")
-            .select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-            .where("u <> v")
-            .distinct()
-        )
-        new = checkpointed(small)
+        low = checkpointed(e.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
         # settled: a star forest, in which no id is both a root and a leaf and each leaf hangs on one root
-        unsettled = new.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").limit(1).count() or new.join(
-            new.select(F.col("v").alias("u")).distinct(), "u", "left_semi"
-        ).limit(1).count()
-        e = new
-        if not unsettled:
+        if not low.where("n > 1").limit(1).count() and not e.join(low.select(F.col("u").alias("v")), "v", "left_semi").limit(1).count():
+            released(low)
             break
+        hung = e.join(low.select(F.col("u").alias("v"), "m"), "v", "left").select("u", F.coalesce("m", "v").alias("v"))
+        low2 = checkpointed(hung.groupBy("u").agg(F.min("v").alias("m")))
+        others = hung.join(low2, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        new = checkpointed(low2.select("u", F.col("m").alias("v")).unionAll(others).distinct())
+        for old in (e, low, low2):
+            released(old)
+        e = new
     else:
         raise RuntimeError("components did not settle")
     return e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionAll(
