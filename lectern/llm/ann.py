@@ -1,15 +1,17 @@
 """Approximate nearest neighbours by NN-descent and greedy graph search (operator 5).
 
-1. Every row gets starting neighbours: random hyperplanes deal the rows to leaves several times, and each leaf is compared whole.
-2. NN-descent: a row's neighbours and those that have it as a neighbour are joined with each other, because
-   neighbours of neighbours tend to be neighbours; each row keeps the best it has met.  Repeated as Spark joins until a
-   round replaces few of the edges.
+1. Equal vectors are one node of the graph.  Every node gets starting neighbours: random hyperplanes deal the nodes to small
+   leaves several times, and each leaf is compared whole.
+2. NN-descent: a node's neighbours and those that have it as a neighbour are joined with each other, because
+   neighbours of neighbours tend to be neighbours; each node keeps the best it has met.  Only pairs with an edge of the last round
+   are new.  Repeated as Spark joins until a round replaces few of the edges.
 3. A query walks the graph greedily: the best nodes not yet expanded are expanded, in joins for all queries at once,
-   until none of its best nodes is left to expand, and finally these are scored exactly on the original vectors.
+   until none of its best nodes is left to expand.  These are scored exactly on the original vectors, and nodes become rows again.
 4. How many best nodes a query keeps is not fixed: a sample of the queries is also compared with all rows, and while too
    few of its true neighbours are found, all queries walk on with twice as many.
 
-Up to the last step vectors are bytes with a scale each, a quarter of their size.
+All of this runs at every size of the table.  Up to the last step vectors are bytes with a scale each, a quarter of their size.  Nodes that lie
+close have a home in common, and in a round of the descent a vector travels once to each home that needs it, not to each node.
 """
 
 from __future__ import annotations
@@ -22,15 +24,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.common import checkpointed, shuffle_partitions
-from lectern.llm.balltree import usable
+from lectern.llm.balltree import usable, vectors_of
+from lectern.llm.common import checkpointed, released, shuffle_partitions
+from lectern.llm.textnum import mixed
 
-DEGREE, TREES, LEAF = 40, 8, 1500
+DEGREE, TREES, LEAF = 40, 6, 500
+#: Nodes that share a home in a round of the descent, about.
+HOME = 1_500
 #: NN-descent ends with the round that replaces no more than this share of the edges.
 REPLACED = 0.02
 #: Nodes a query keeps at first, and the share of them it expands in a step.
 BEAM, WIDTH = 160, 0.3
-#: Queries compared with all rows, and the share of their true neighbours that has to be found.
+#: Queries compared with all rows, about, and the share of their true neighbours that has to be found.
 SAMPLE, RECALL = 256, 0.95
 EDGE = "a bigint, b bigint, s float"
 #: An edge of the graph, and 1 if the last round brought it.
@@ -39,8 +44,6 @@ GRAPH = EDGE + ", fresh int"
 HELD, SMALL = 500_000, 100_000
 #: Rows of a leaf compared with the rest at once.
 BLOCK = 256
-#: Nodes whose neighbours' vectors a task unpacks at once.
-NODES = 512
 
 
 def _bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -48,8 +51,8 @@ def _bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, scales = [], []
         for v in batch.column(1).to_pylist():
             v = np.array(v, np.float64)
-            scale = float(np.abs(v).max()) / 127 or 1.0
-            codes.append(np.rint(v / scale).astype(np.int8).tobytes())
+            scale = min(max(float(np.abs(v).max()) / 127, 1e-30), 1e30)
+            codes.append(np.clip(np.rint(v / scale), -127, 127).astype(np.int8).tobytes())
             scales.append(scale)
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(codes, pa.binary()), pa.array(scales, pa.float32())], names=["id", "code", "scale"])
 
@@ -132,50 +135,80 @@ def _top(degree: int):
 
 
 def _join_locally(degree: int):
-    """Around each node: scores of all pairs of its neighbours, where one beats the other's worst neighbour."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = _arrow(batches)
-        if t is None:
-            return
-        t = t.take(pa.array(np.argsort(t.column("u").to_numpy(), kind="stable")))
-        node, ids, worst = (t.column(c).to_numpy() for c in ("u", "id", "worst"))
-        cuts = np.append(np.flatnonzero(np.concatenate([[True], np.diff(node) != 0])), len(node))
+    """Around each node of a home: scores of the pairs of its neighbours with a fresh edge, where one beats the other's worst neighbour."""
+    def run(pairs: pa.Table, vectors: pa.Table) -> pa.Table:
         found: list = [[], [], []]
         held = 0
-        for at, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
-            if at % NODES == 0:  # vectors of the next nodes only
-                begin, part = a, t.slice(a, cuts[min(at + NODES, len(cuts) - 1)] - a)
-                x = _matrix(part.column("code").to_pylist(), part.column("scale").to_numpy())
-            rows = slice(a, b)
-            s = x[a - begin : b - begin] @ x[a - begin : b - begin].T
-            own = ids[rows]
-            i, j = np.nonzero((s > worst[rows][:, None]) & (own[:, None] != own[None, :]))
-            found[0].append(own[i])
-            found[1].append(own[j])
-            found[2].append(s[i, j])
-            held += len(i)
-            if held > HELD:
-                yield from _edges(*_best(*map(np.concatenate, found), degree))
-                found, held = [[], [], []], 0
-        if found[0]:
-            yield from _edges(*_best(*map(np.concatenate, found), degree))
+        if pairs.num_rows and vectors.num_rows:
+            ids = vectors.column("id").to_numpy()
+            order = np.argsort(ids)
+            ids, x = ids[order], _matrix(vectors.column("code").to_pylist(), vectors.column("scale").to_numpy())[order]
+            worst = vectors.column("worst").to_numpy()[order]
+            u, v, fresh = (pairs.column(c).to_numpy() for c in ("u", "v", "fresh"))
+            order = np.argsort(u, kind="stable")
+            u, at, fresh = u[order], np.searchsorted(ids, v[order]), fresh[order] > 0
+            cuts = np.append(np.flatnonzero(np.concatenate([[True], u[1:] != u[:-1]])), len(u))
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                new = fresh[a:b]
+                if not new.any():
+                    continue
+                rows = at[a:b]
+                s = x[rows] @ x[rows].T
+                good = (s > worst[rows][:, None]) & (new[:, None] | new[None, :])
+                np.fill_diagonal(good, False)
+                i, j = np.nonzero(good)
+                for kept, more in zip(found, (ids[rows[i]], ids[rows[j]], s[i, j])):
+                    kept.append(more)
+                held += len(i)
+                if held > HELD:
+                    found = [[c] for c in _best(*map(np.concatenate, found), degree)]
+                    held = 0
+        a, b, s = _best(*map(np.concatenate, found), degree) if found[0] else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float32))
+        return pa.table({"a": a.astype(np.int64), "b": b.astype(np.int64), "s": s.astype(np.float32)})
 
     return run
 
 
-def _leaf_numbers(dims: int, depth: int, seed: int):
-    """The leaf of each row: the sides of ``depth`` random hyperplanes through the sample's middle."""
+def _equal_lengths(codes: list[bytes]) -> Iterator[np.ndarray]:
+    """Places of codes of the same length."""
+    sizes = np.array([len(c) for c in codes])
+    for n in np.unique(sizes):
+        yield np.flatnonzero(sizes == n)
+
+
+def _leaf_numbers(depths: dict[int, int], middles: dict[int, np.ndarray], trees: int, seed: int):
+    """The leaf of each row in each tree: its length, and its sides of random hyperplanes through the middle of its length's rows."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        planes = np.random.default_rng(seed).standard_normal((TREES, dims, depth)).astype(np.float32)
+        planes: dict[int, np.ndarray] = {}
         for batch in batches:
-            x = _matrix(batch.column(1).to_pylist(), batch.column(2).to_numpy())
-            for tree in range(TREES):
-                sides = (x @ planes[tree] > 0).astype(np.int64) @ (1 << np.arange(depth, dtype=np.int64)) if depth else np.zeros(len(x), np.int64)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sides * TREES + tree)], names=["id", "code", "scale", "leaf"])
+            codes, scales = batch.column(1).to_pylist(), batch.column(2).to_numpy()
+            leaves = np.zeros((trees, len(codes)), np.uint64)
+            for places in _equal_lengths(codes):
+                n = len(codes[places[0]])
+                if n not in planes:
+                    planes[n] = np.random.default_rng([seed, n]).standard_normal((trees, n, depths[n])).astype(np.float32)
+                x = _matrix([codes[i] for i in places], scales[places]) - middles[n].astype(np.float32)
+                for tree in range(trees):
+                    sides = (x @ planes[n][tree] > 0).astype(np.uint64) @ (np.uint64(1) << np.arange(depths[n], dtype=np.uint64))
+                    leaves[tree, places] = mixed(mixed(np.array([n * trees + tree], np.uint64)) ^ sides.astype(np.uint64))
+            for tree in range(trees):
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaves[tree].view(np.int64))], names=["id", "code", "scale", "leaf"])
 
     return run
 
 
+def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each length in a task: how many rows, and the sum of each component."""
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        codes, scales = batch.column(1).to_pylist(), batch.column(2).to_numpy()
+        for places in _equal_lengths(codes) if codes else ():
+            x = _matrix([codes[i] for i in places], scales[places]).astype(np.float64)
+            sums[x.shape[1]] = sums.get(x.shape[1], 0) + np.concatenate([[len(x)], x.sum(axis=0)])
+    for n, total in sums.items():
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(n + 1, n)), pa.array(np.arange(n + 1)), pa.array(total)], names=["dims", "place", "total"])
+
+
 def _split_leaves(dealt: DataFrame, leaf: int) -> DataFrame:
     """``dealt`` with leaves of more than ``leaf`` rows, such as rows all alike, cut by hashed ids into leaves of half that size."""
     large = checkpointed(dealt.groupBy("leaf").agg(F.count("*").alias("rows")).where(F.col("rows") > leaf))
@@ -187,30 +220,43 @@ def _split_leaves(dealt: DataFrame, leaf: int) -> DataFrame:
     return joined.select("id", "code", "scale", F.when(F.col("rows").isNull(), F.col("leaf")).otherwise(F.xxhash64("leaf", piece)).alias("leaf"))
 
 
-def build_graph(codes: DataFrame, dims: int, n: int, *, degree: int = DEGREE, replaced: float = REPLACED, seed: int = 5) -> DataFrame:
+def _depth(n: int, leaf: int) -> int:
+    """Hyperplanes that cut ``n`` rows into leaves somewhat below ``leaf``."""
+    return max(0, int(np.ceil(np.log2(max(1, n / (leaf * 0.7))))))
+
+
+def build_graph(codes: DataFrame, sizes: dict[int, tuple[int, np.ndarray]], *, degree: int = DEGREE, replaced: float = REPLACED, seed: int = 5) -> DataFrame:
     """``(a, b, s)``: up to ``degree`` neighbours ``b`` of every row ``a``, with approximate inner products.
 
-    Scores of a row's neighbours only rise, so the rounds come to an end at any size.
+    ``sizes`` has the rows and the middle of each length.  Scores of a row's neighbours only rise, so the rounds come to an end at any size.
     """
+    n = sum(rows for rows, _ in sizes.values())
     parts = max(shuffle_partitions(codes.sparkSession), -(-n // 20_000))
-    depth = max(0, int(np.ceil(np.log2(max(1, n / (LEAF * 0.7))))))
-    dealt = codes.mapInArrow(_leaf_numbers(dims, depth, seed), "id bigint, code binary, scale float, leaf bigint")
-    met = _split_leaves(dealt, LEAF * 2).repartition(parts, "leaf").mapInArrow(_leaves(degree, LEAF * 2), EDGE)
+    dealt = lambda trees, leaf, seed: codes.mapInArrow(
+        _leaf_numbers({d: _depth(rows, leaf) for d, (rows, _) in sizes.items()}, {d: m for d, (_, m) in sizes.items()}, trees, seed), "id bigint, code binary, scale float, leaf bigint"
+    )
+    homes = checkpointed(_split_leaves(dealt(1, HOME, seed + 1), HOME * 2).select("id", F.col("leaf").alias("home")))
+    met = _split_leaves(dealt(TREES, LEAF, seed), LEAF * 2).repartition(parts, "leaf").mapInArrow(_leaves(degree, LEAF * 2), EDGE)
     graph = checkpointed(met.withColumn("fresh", F.lit(1)).repartition(parts, "a").mapInArrow(_top(degree), GRAPH))
     half = degree // 2 + degree // 4
+    lowest = F.lit(float("-inf")).cast("float")
     for r in itertools.count():
-        worst = graph.groupBy("a").agg(F.when(F.count("*") >= degree, F.min("s")).otherwise(F.lit(float("-inf")).cast("float")).alias("worst"))
-        known = codes.join(worst, codes.id == worst.a, "left").select("id", "code", "scale", F.coalesce("worst", F.lit(float("-inf")).cast("float")).alias("worst"))
-        # a sample of the neighbours in either direction, as NN-descent joins; what it misses the next round meets
-        # (three of four ahead; back at most ``half``, as a row may be the neighbour of very many)
-        order = F.xxhash64("a", "b", F.lit(seed + r))
-        ahead = graph.where(F.pmod(order, F.lit(4)) < 3).select(F.col("a").alias("u"), F.col("b").alias("v"))
-        back = graph.withColumn("k", F.row_number().over(Window.partitionBy("b").orderBy(order, "a"))).where(F.col("k") <= half).select(F.col("b").alias("u"), F.col("a").alias("v"))
-        around = ahead.unionAll(back).distinct().join(known, F.col("v") == known.id).select("u", "id", "code", "scale", "worst")
-        met = around.repartition(parts, "u").mapInArrow(_join_locally(degree), EDGE)
+        worst = graph.groupBy("a").agg(F.when(F.count("*") >= degree, F.min("s")).otherwise(lowest).alias("worst"))
+        known = codes.join(worst, codes.id == worst.a, "left").select("id", "code", "scale", F.coalesce("worst", lowest).alias("worst"))
+        # back at most ``half``, fresh ones first, as a row may be the neighbour of very many; what this misses a later round meets
+        order = Window.partitionBy("b").orderBy(F.desc("fresh"), F.xxhash64("a", "b", F.lit(seed + r)), "a")
+        back = graph.withColumn("k", F.row_number().over(order)).where(F.col("k") <= half).select(F.col("b").alias("u"), F.col("a").alias("v"), "fresh")
+        around = graph.select(F.col("a").alias("u"), F.col("b").alias("v"), "fresh").unionAll(back).groupBy("u", "v").agg(F.max("fresh").alias("fresh"))
+        pairs = checkpointed(around.join(homes, F.col("u") == homes.id).select("home", "u", "v", "fresh"))
+        vectors = pairs.select("home", "v").distinct().join(known, F.col("v") == known.id).select(F.col("home").alias("place"), "id", "code", "scale", "worst")
+        met = pairs.groupBy("home").cogroup(vectors.groupBy("place")).applyInArrow(_join_locally(degree), EDGE)
         both = graph.withColumn("fresh", F.lit(0)).unionAll(met.withColumn("fresh", F.lit(1)))
-        graph = checkpointed(both.repartition(parts, "a").mapInArrow(_top(degree), GRAPH))
+        new = checkpointed(both.repartition(parts, "a").mapInArrow(_top(degree), GRAPH))
+        for old in (graph, pairs):
+            released(old)
+        graph = new
         if (graph.agg(F.avg("fresh")).first()[0] or 0.0) <= replaced:
+            released(homes)
             return graph.drop("fresh")
 
 
@@ -219,53 +265,65 @@ def _expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        q = _matrix(batch.column("q_code").to_pylist(), batch.column("q_scale").to_numpy())
-        v = _matrix(batch.column("code").to_pylist(), batch.column("scale").to_numpy())
-        s = np.einsum("ij,ij->i", q, v)
+        asked, codes = batch.column("q_code").to_pylist(), batch.column("code").to_pylist()
+        s = np.empty(len(codes), np.float32)
+        for places in _equal_lengths(codes):
+            q = _matrix([asked[i] for i in places], batch.column("q_scale").to_numpy()[places])
+            v = _matrix([codes[i] for i in places], batch.column("scale").to_numpy()[places])
+            s[places] = np.einsum("ij,ij->i", q, v)
         better = s > batch.column("worst").to_numpy()
         t = pa.Table.from_batches([batch]).filter(pa.array(better))
-        yield from pa.table({"a": t.column("query_id"), "b": t.column("id"), "s": pa.array(s[better].astype(np.float32))}).to_batches()
+        yield from pa.table({"a": t.column("query_id"), "b": t.column("id"), "s": pa.array(s[better])}).to_batches()
 
 
 def _nearest(sample: dict[int, np.ndarray], k: int):
     """A task's ``k`` best rows for each query of ``sample``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, q = np.array(list(sample), np.int64), np.array(list(sample.values()))
+        asked: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for n in {len(v) for v in sample.values()}:
+            some = {i: v for i, v in sample.items() if len(v) == n}
+            asked[n] = np.array(list(some), np.int64), np.array(list(some.values()))
         best = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
         for batch in batches:
-            if not batch.num_rows:
-                continue
             own = batch.column(0).to_numpy()
-            s = q @ np.array(batch.column(1).to_pylist(), np.float64).T
-            i, j = np.nonzero(ids[:, None] != own[None, :])
-            met = (ids[i], own[j], s[i, j])
-            best = _best(*(np.concatenate(x) for x in zip(best, met)), k)
+            for places, x in vectors_of(batch.column(1)) if batch.num_rows else ():
+                if x.shape[1] not in asked:
+                    continue
+                ids, q = asked[x.shape[1]]
+                s = q @ x.T
+                s[ids[:, None] == own[places][None, :]] = -np.inf
+                near = np.argpartition(s, max(0, s.shape[1] - k), axis=1)[:, -k:]
+                met = np.repeat(ids, near.shape[1]), own[places][near.ravel()], np.take_along_axis(s, near, axis=1).ravel()
+                fine = np.isfinite(met[2])
+                best = _best(*(np.concatenate([a, b[fine]]) for a, b in zip(best, met)), k)
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in best], names=["query_id", "b", "score"])
 
     return run
 
 
-def _floors(fine: DataFrame, query_every: int, k: int) -> DataFrame:
-    """``(query_id, floor, k)`` of ``SAMPLE`` queries: the score of the true ``k``-th best row, by comparison with every row; ``k`` is less where there are fewer rows."""
-    chosen = fine.where(F.col("vec_id") % query_every == 0).orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()
-    sample = {r["vec_id"]: np.array(r["vec"], np.float64) for r in chosen}
+def _floors(nodes: DataFrame, asking: DataFrame, k: int) -> DataFrame:
+    """``(query_id, floor, k)`` of about ``SAMPLE`` of the ``asking`` nodes: the score of the true ``k``-th best other node, by comparison with every node; ``k`` is less where there are fewer."""
+    n = asking.count()
+    bound = min(1 << 30, int(SAMPLE / max(1, n) * (1 << 30)) + 1)
+    chosen = asking.where(F.pmod(F.xxhash64("id", F.lit(9)), F.lit(1 << 30)) < bound).limit(4 * SAMPLE).select("id")
+    sample = {r["id"]: np.array(r["vec"], np.float64) for r in nodes.join(F.broadcast(chosen), "id", "left_semi").collect()}
     if not sample:
-        return fine.sparkSession.createDataFrame([], "query_id bigint, floor double, k bigint")
-    met = fine.select("vec_id", "vec").mapInArrow(_nearest(sample, k), "query_id bigint, b bigint, score double")
+        return nodes.sparkSession.createDataFrame([], "query_id bigint, floor double, k bigint")
+    met = nodes.select("id", "vec").mapInArrow(_nearest(sample, k), "query_id bigint, b bigint, score double")
     best = met.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "b"))).where(F.col("r") <= k)
     return checkpointed(best.groupBy("query_id").agg(F.min("score").alias("floor"), F.count("*").alias("k")))
 
 
-def _scored(state: DataFrame, fine: DataFrame) -> DataFrame:
-    """``(query_id, vec_id, score)``: the nodes of ``state`` with inner products of the original vectors."""
-    pairs = state.select("query_id", F.col("b").alias("vec_id"))
-    exact = pairs.join(fine, "vec_id").join(fine.select(F.col("vec_id").alias("query_id"), F.col("vec").alias("q")), "query_id")
-    return exact.select("query_id", "vec_id", F.aggregate(F.zip_with("vec", "q", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x).alias("score"))
+def _scored(state: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``(query_id, id, score)``: the nodes of ``state`` with inner products of the original vectors."""
+    pairs = state.select("query_id", F.col("b").alias("id"))
+    exact = pairs.join(nodes.select("id", "vec"), "id").join(nodes.select(F.col("id").alias("query_id"), F.col("vec").alias("q")), "query_id")
+    return exact.select("query_id", "id", F.aggregate(F.zip_with("vec", "q", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x).alias("score"))
 
 
-def _recall(state: DataFrame, fine: DataFrame, floors: DataFrame) -> float:
-    """The share of the sample's true neighbours, or rows as good, that ``state`` holds."""
-    scores = _scored(state.join(F.broadcast(floors), "query_id", "left_semi"), fine)
+def _recall(state: DataFrame, nodes: DataFrame, floors: DataFrame) -> float:
+    """The share of the sample's true neighbours, or nodes as good, that ``state`` holds."""
+    scores = _scored(state.join(F.broadcast(floors), "query_id", "left_semi"), nodes)
     good = F.sum((F.col("score") >= F.col("floor") - F.abs("floor") * 1e-9 - 1e-12).cast("bigint"))
     found = F.broadcast(floors).join(scores, "query_id", "left").groupBy("query_id", "k").agg(F.least(F.coalesce(good, F.lit(0)), F.col("k")).alias("found"))
     share = found.agg(F.sum("found") / F.sum("k")).first()[0]
@@ -275,9 +333,12 @@ def _recall(state: DataFrame, fine: DataFrame, floors: DataFrame) -> float:
 def _walk(state: DataFrame, graph: DataFrame, codes: DataFrame, queries: DataFrame, beam: int) -> DataFrame:
     """``state`` after each query has expanded every one of its ``beam`` best nodes."""
     ahead = Window.partitionBy("query_id", "done").orderBy(F.desc("s"), "b")
-    width = int(beam * WIDTH)
+    width, kept = max(1, int(beam * WIDTH)), None
     while True:
         state = checkpointed(state.withColumn("k", F.row_number().over(ahead)).withColumn("go", (F.col("done") == 0) & (F.col("k") <= width)).drop("k"))
+        if kept is not None:
+            released(kept)
+        kept = state
         if not state.where("go").limit(1).count():
             return state.drop("go")
         worst = state.groupBy("query_id").agg(F.when(F.count("*") >= beam, F.min("s")).otherwise(F.lit(float("-inf")).cast("float")).alias("worst"))
@@ -292,31 +353,46 @@ def search(vectors: DataFrame, *, key: str = "vec_id", vector: str = "embedding"
     """``(query_id, rank, vec_id, score)``: for every row whose id ``query_every`` divides, the ``k`` best other rows found.
 
     Scores are inner products of the original vectors in double precision; ties go to the smaller id.  Vectors null, zero or holding
-    null or non-finite components take no part; vectors of another length than most raise no error but are left
-    out.  Repeated ids count as one row each of the smallest vector.  Fewer than ``k`` candidates give that many rows, an empty table none; extra columns are
-    ignored.  However large the table, the search goes on until a sample of the queries has ``RECALL`` of its true neighbours.
-    Tables of up to ``LEAF`` rows are searched exactly, since one leaf holds them.
+    null or non-finite components take no part; vectors of different lengths don't meet.  Rows that carry the query's id are its own; otherwise
+    repeated rows are candidates each, and a repeated id that is a query has one answer over its rows.  Fewer than ``k`` candidates give that many
+    rows, an empty table none; extra columns are ignored.  Of equal vectors the ``k + 1`` smallest ids suffice, so copies
+    of a third of all rows are one node and found exactly.  Nodes are told apart by 64-bit hashes of their vectors.
+
+    However large the table, the search goes on until a sample of the queries has ``RECALL`` of its true neighbours, or its beam has room for
+    all rows.
     """
-    fine = usable(vectors, key=key, vector=vector).where(F.exists("vec", lambda x: x != 0))
-    size = fine.groupBy(F.size("vec").alias("dims")).count().orderBy(F.desc("count"), "dims").first()
     spark = vectors.sparkSession
-    if size is None:
+    rows = usable(vectors, key=key, vector=vector).where(F.exists("vec", lambda x: x != 0)).withColumn("id", F.xxhash64(F.size("vec"), "vec"))
+    asked = checkpointed(rows.where(F.col("vec_id") % query_every == 0).select("id", F.col("vec_id").alias("query_id")).distinct())
+    # the smallest ids of each vector, limited within tasks before they are exchanged
+    smallest = Window.partitionBy("id").orderBy("vec_id")
+    members = checkpointed(rows.withColumn("r", F.row_number().over(smallest)).where(F.col("r") <= k + 1).select("id", "vec_id", "vec", "r"))
+    nodes = members.where("r = 1").select("id", "vec")
+    codes = checkpointed(nodes.mapInArrow(_bytes, "id bigint, code binary, scale float"))
+    sizes: dict[int, tuple[int, np.ndarray]] = {}
+    totals: dict[int, dict[int, float]] = {}
+    for r in codes.mapInArrow(_sums, "dims bigint, place bigint, total double").groupBy("dims", "place").agg(F.sum("total").alias("total")).collect():
+        totals.setdefault(r["dims"], {})[r["place"]] = r["total"]
+    for dims, total in totals.items():
+        sizes[dims] = int(total[0]), np.array([total[i + 1] for i in range(dims)]) / total[0]
+    if not sizes:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    dims, n = size["dims"], size["count"]
-    fine = fine.where(F.size("vec") == dims).groupBy("vec_id").agg(F.min("vec").alias("vec"))
-    codes = checkpointed(fine.mapInArrow(_bytes, "id bigint, code binary, scale float"))
-    graph = build_graph(codes, dims, n, degree=degree)
-    queries = codes.where(F.col("id") % query_every == 0).select(F.col("id").alias("query_id"), F.col("code").alias("q_code"), F.col("scale").alias("q_scale"))
-    state = graph.where(F.col("a") % query_every == 0).select(F.col("a").alias("query_id"), "b", "s", F.lit(0).alias("done"))
-    floors, beam = _floors(fine, query_every, k), BEAM
-    while n > LEAF:
+    n = sum(size for size, _ in sizes.values())
+    graph = build_graph(codes, sizes, degree=degree)
+    asking = asked.select("id").distinct()
+    queries = codes.join(asking, "id", "left_semi").select(F.col("id").alias("query_id"), F.col("code").alias("q_code"), F.col("scale").alias("q_scale"))
+    state = graph.join(asking, graph.a == asking.id, "left_semi").select(F.col("a").alias("query_id"), "b", "s", F.lit(0).alias("done"))
+    floors, beam = _floors(nodes, asking, k), BEAM
+    while True:
         state = _walk(state, graph, codes, queries, beam)
         # with room for every row, all that the graph reaches has been met
-        if beam >= n or _recall(state, fine, floors) >= RECALL:
+        if beam >= n or _recall(state, nodes, floors) >= RECALL:
             break
         beam, state = 2 * beam, state.withColumn("done", F.lit(0))
-    exact = _scored(state, fine)
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return exact.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
-
+    # a query's own node holds its copies
+    own = asking.select(F.col("id").alias("query_id"), F.col("id").alias("b"))
+    best = lambda of, *ties: Window.partitionBy(of).orderBy(F.desc("score"), *ties)
+    exact = _scored(state.select("query_id", "b").unionAll(own), nodes).withColumn("r", F.rank().over(best("query_id"))).where(F.col("r") <= k + 1).drop("r")
+    around = exact.join(members.select("id", "vec_id"), "id").select(F.col("query_id").alias("node"), "vec_id", "score")
+    answers = around.join(asked.select(F.col("id").alias("node"), "query_id"), "node").where("vec_id <> query_id")
+    return answers.withColumn("rank", F.row_number().over(best("query_id", "vec_id"))).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
