@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.llm import ann, balltree, bpe, html, langid, lengths, mixing, neardup, pii, substring
 from lectern.llm.common import table
+from lectern.llm.sql import oracle_sql as oracle_sql
 
 
 def op1_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,7 +68,3 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {f.__name__: f for f in (op1_substring, op2_html, op3_bpe, op4_neardup, op5_ann, op6_pii, op7_lengths, op8_topk, op9_mixing, op10_langid)}
-
-
-def oracle_sql() -> dict[str, str]:
-    return {}
