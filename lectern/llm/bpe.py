@@ -67,6 +67,8 @@ class TrieBpe:
         self.white = [chr(c) for c in range(0x10000) if chr(c).isspace() or unicodedata.category(chr(c)) == "Zs"]
         self.at_spaces = re.compile(r"(?<=\S) (?=\S)").split
         self.parts = re.compile("(" + "|".join(re.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")").split if self.special else None
+        common = sorted(set.intersection(*map(set, self.special))) if self.special else []
+        self.hint = common[0] if common else ""  # a text without it has no special token
         self.halves: dict[int, tuple[int, int, int]] = {}
         for (a, b), (rank, token) in self.merges.items():
             if token not in self.halves or rank < self.halves[token][0]:
@@ -178,7 +180,7 @@ class TrieBpe:
 
     def _parts(self, text: str) -> list[str]:
         """Text and special tokens in turn; the special ones have odd places."""
-        return self.parts(text) if self.parts and "<" in text and any(s in text for s in self.special) else [text]
+        return self.parts(text) if self.parts and self.hint in text and any(s in text for s in self.special) else [text]
 
     def _chunks(self, part: str) -> list[str]:
         """Cut before every space with other than white space on both sides: no word of the pattern crosses it."""
@@ -275,7 +277,8 @@ def encode(docs: DataFrame, *, text: str = "text", keep: list[str], path: str |
     """``keep`` with ``ids`` (binary: little-endian unsigned 32-bit) and ``n_tokens`` of every whole text.
 
     Null texts encode as empty ones: no ids.  Strings of special tokens inside a text become those tokens, as the
-    library does.  Very long texts and repeated rows need no special care: each row stands alone, and rows and extra columns pass through.
+    library does.  Each row stands alone, however long its text, and repeated rows give repeated results; an empty table gives no rows.
+    Columns in ``keep`` pass through, those named like an output column are replaced.
     """
     def make(bpe: TrieBpe, texts: list[str]):
         ids = bpe.encode_batch(texts)
@@ -285,7 +288,7 @@ def encode(docs: DataFrame, *, text: str = "text", keep: list[str], path: str |
 
 
 def decode(encoded: DataFrame, *, ids: str = "ids", keep: list[str], path: str | None = None) -> DataFrame:
-    """``keep`` with ``decoded``, the text of each row's ids; null ids give an empty text."""
+    """``keep`` with ``decoded``, the text of each row's ids; null ids give an empty text, an empty table no rows."""
     names = [c for c in keep if c != "decoded"]
     chosen = encoded.select(*[F.col(f"`{c}`") for c in names], F.col(ids).alias("__ids"))
     schema = type(chosen.schema)(chosen.schema.fields[:-1]).add("decoded", "string")
@@ -302,7 +305,10 @@ def decode(encoded: DataFrame, *, ids: str = "ids", keep: list[str], path: str |
 
 
 def encode_digest(docs: DataFrame, *, text: str = "text", keep: list[str], path: str | None = None) -> DataFrame:
-    """``keep`` with ``n_tokens``, ``ids_sha256`` and ``decoded_sha256``: encodes and decodes without moving the ids."""
+    """``keep`` with ``n_tokens``, ``ids_sha256`` and ``decoded_sha256``: encodes and decodes without moving the ids.
+
+    Nulls, empty and long texts, repeated rows, empty tables and clashing names are treated as by ``encode``.
+    """
     def make(bpe: TrieBpe, texts: list[str]):
         ids = bpe.encode_batch(texts)
         return (

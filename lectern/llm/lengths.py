@@ -17,7 +17,8 @@ def length_histogram(lengths: DataFrame, *, n_tokens: str = "n_tokens", block: i
     ``docs_ge`` and ``tokens_ge`` count the documents at least so long and their tokens.  ``docs_le`` counts those
     at most so long: the p-quantile is the first length whose ``docs_le`` reaches p of all.  ``truncated_total`` is the
     corpus total after cutting every document to this length: the tokens of shorter documents plus
-    length times ``docs_ge``.  Null lengths count as 0; an empty table gives no rows.
+    length times ``docs_ge``.  Null lengths count as 0, repeated rows once each, very long ones like any other; an empty table gives no rows, and extra
+    columns are ignored.
 
     Counting combines on the map side, so a length that a third of the documents share is one row per task.
     The counts, one row per length, are kept before the sums use them twice, so lengths are computed once.
