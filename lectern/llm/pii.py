@@ -13,8 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Characters before a span in which context words count.
-CONTEXT = 40
+#: Characters before a span in which context words count, and the candidates of a kind (three characters or more with what lies before each) that fit in them.
+CONTEXT, WITHIN = 40, 14
 
 
 def _digits(hit: Column) -> Column:
@@ -72,7 +72,8 @@ KINDS = (
     Kind("card", r"[0-9](?:[\x20-]?[0-9])++", _card_ok, "card|visa|credit|pay", 0.7),
     # \+[0-9][\x20().0-9-]+[0-9]
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", _phone_ok, "phone|tel|call|mobile|fax", 0.7, "+"),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", _iban_ok, "iban|account|bank", 0.7),
+    # groups of four; a shorter last one has a digit, so that a word after the number isn't taken for it
+    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?(?=[A-Z]{0,2}[0-9])[A-Z0-9]{1,3})?(?![A-Za-z0-9])", _iban_ok, "iban|account|bank", 0.7),
     Kind("ssn", r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])", _any, "ssn|social security", 0.3, "-", 0.5),
 )
 BASE = ("email", "ip", "card", "phone")
@@ -91,6 +92,12 @@ def _inside(values: Column, start: Column) -> Column:
     )
 
 
+def _before(pieces: Column, i: Column) -> Column:
+    """The ``CONTEXT`` characters of the text before piece ``i`` (from 0), whatever candidates they hold."""
+    earlier = F.transform(F.slice(pieces, F.greatest(i - WITHIN, F.lit(0)) + 1, F.least(i, F.lit(WITHIN))), lambda p: F.concat(p["before"], p["hit"]))
+    return F.right(F.concat(F.array_join(earlier, ""), F.get(pieces, i)["before"]), F.lit(CONTEXT))
+
+
 def _each(rows: DataFrame, names: list[str], make: Callable[[Kind], Column], put: str, *take: str) -> DataFrame:
     """``rows`` with the columns ``take`` of every kind replaced by ``put``; a projection of its own, so nothing is computed twice."""
     kept = [c for c in rows.columns if c in names or c.startswith("__") and not any(c == f"__{t}_{k.name}" for t in take for k in KINDS)]
@@ -100,8 +107,9 @@ def _each(rows: DataFrame, names: list[str], make: Callable[[Kind], Column], put
 def find(docs: DataFrame, *, text: str = "text", keep: list[str], block: int = 256) -> DataFrame:
     """``keep`` with ``spans``: array of (start, kind_order, end, kind, score, hit), by start and then kind.
 
-    Offsets are code points, the end is exclusive.  Null and empty texts have no spans.  Whole texts are searched; repeated
-    rows each get their result; extra columns pass through ``keep``.  Positions are running sums of the lengths of
+    Offsets are code points, the end is exclusive.  Null and empty texts have no spans.  Whole texts are searched, however long; repeated
+    rows each get their result, an empty table gives no rows; columns in ``keep`` pass through, one named ``spans`` is replaced, and names that
+    begin with two underscores are reserved.  Spans of different kinds may overlap; where they start together the order of ``KINDS`` decides.  Positions are running sums of the lengths of
     matches and of what lies between, in two levels of ``block`` elements, so that a text with very many matches takes linear time.
     """
     names = [c for c in keep if c != "spans"]
@@ -127,15 +135,18 @@ def find(docs: DataFrame, *, text: str = "text", keep: list[str], block: int = 2
 
     def spans(k: Kind) -> Column:
         with_word = F.least(F.lit(1.0), F.lit(k.score + 0.3))
+        numbered = F.transform(col(k, "starts"), lambda s, i: F.struct(s.alias("s"), i.alias("i")))
+        near = lambda i: F.lower(_before(col(k, "pieces"), i)).rlike(rf"\b(?:{k.words})")
         span = lambda p, s: F.struct(
-            (s + p["skip"]).alias("start"),
+            (s["s"] + p["skip"]).alias("start"),
             F.lit([x.name for x in KINDS].index(k.name)).alias("kind_order"),
-            (s + p["skip"] + p["n"]).alias("end"),
+            (s["s"] + p["skip"] + p["n"]).alias("end"),
             F.lit(k.name).alias("kind"),
-            F.when(F.lower(p["before"]).rlike(rf"\b(?:{k.words})"), with_word).otherwise(F.lit(k.score)).alias("score"),
+            # the context is only looked at where the candidate is confirmed
+            F.when(k.confirm(p["hit"]), F.when(near(s["i"]), with_word).otherwise(F.lit(k.score))).alias("score"),
             p["hit"].alias("hit"),
         )
-        return F.filter(F.zip_with(col(k, "pieces"), col(k, "starts"), span), lambda s: k.confirm(s["hit"]) & (s["score"] >= k.least))
+        return F.filter(F.zip_with(col(k, "pieces"), numbered, span), lambda s: s["score"] >= k.least)
 
     rows = _each(rows, names, spans, "spans", "pieces", "starts")
     return rows.select(*[F.col(f"`{c}`") for c in names], F.array_sort(F.concat(*[col(k, "spans") for k in KINDS])).alias("spans"))
@@ -164,11 +175,13 @@ def redact(docs: DataFrame, *, text: str = "text") -> DataFrame:
 
 def _masked(text: Column, kind: Kind) -> Column:
     gaps, hits = F.split(text, kind.pattern, -1), F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
+    pieces = F.zip_with(F.slice(gaps, 1, F.size(hits)), hits, lambda g, h: F.struct(g.alias("gap"), F.right(g, F.lit(CONTEXT)).alias("before"), h.alias("hit")))
 
-    def part(gap: Column, hit: Column) -> Column:
-        sure = kind.confirm(hit) & (F.lit(kind.score >= kind.least) | F.lower(F.right(gap, F.lit(CONTEXT))).rlike(rf"\b(?:{kind.words})"))
-        return F.concat(gap, F.when(sure, F.lit(f"[{kind.name.upper()}]")).otherwise(hit))
+    def part(piece: Column, i: Column) -> Column:
+        sure = kind.confirm(piece["hit"])
+        if kind.score < kind.least:
+            sure = sure & F.lower(_before(pieces, i)).rlike(rf"\b(?:{kind.words})")
+        return F.concat(piece["gap"], F.when(sure, F.lit(f"[{kind.name.upper()}]")).otherwise(piece["hit"]))
 
-    parts = F.zip_with(F.slice(gaps, 1, F.size(hits)), hits, part)
     applies = F.contains(text, F.lit(kind.needs)) if kind.needs else text.rlike("[0-9]")
-    return F.when(applies, F.concat(F.array_join(parts, ""), F.element_at(gaps, -1))).otherwise(text)
+    return F.when(applies, F.concat(F.array_join(F.transform(pieces, part), ""), F.element_at(gaps, -1))).otherwise(text)
