@@ -94,11 +94,12 @@ def mix(docs: DataFrame, *, source: str = "source", tokens: str, key: str, entro
 
     Null sources form a source of their own.  Documents without tokens go with their source's whole passes (or once
     if the source has no tokens at all) and never in the partial pass.  Ties and repeated rows are ordered by the hash and key only,
-    and equal rows are drawn alike.  Empty tables give empty results.  Clashing column names are replaced.
+    and equal rows are drawn alike.  Empty tables give empty results.  Extra columns pass through; those named like an output column are replaced, and
+    names that begin with two underscores are reserved.
     """
     own = ["weight", "passes", "extra", "copies"]
     names = [c for c in docs.columns if c not in own]
-    rows = docs.select(*[F.col(f"`{c}`") for c in names], F.col(source).alias("__source"), F.coalesce(F.col(tokens), F.lit(0)).cast("bigint").alias("__tokens"))
+    rows = docs.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{source}`").alias("__source"), F.coalesce(F.col(f"`{tokens}`"), F.lit(0)).cast("bigint").alias("__tokens"))
     rows = rows.withColumn("__hash", F.xxhash64(F.lit(seed), F.col(f"`{key}`").cast("string"))).withColumn("__block", F.pmod("__hash", F.lit(blocks)).cast("int"))
     # combined on the map side: at most a row for each source and block from a task
     in_blocks = checkpointed(rows.groupBy("__source", "__block").agg(F.sum("__tokens").alias("b_tokens")))
@@ -107,14 +108,15 @@ def mix(docs: DataFrame, *, source: str = "source", tokens: str, key: str, entro
     order = Window.partitionBy("__source").orderBy(F.xxhash64(F.lit(seed + 1), "__block"), "__block")
     null_safe = lambda a, b: a.eqNullSafe(b)
     cut = in_blocks.alias("b").join(plan.alias("p"), null_safe(F.col("b.__source"), F.col("p.source")), "left")
+    before = F.sum("b_tokens").over(order) - F.col("b_tokens")
     cut = cut.select(
-        F.col("b.__source").alias("c_source"), F.col("b.__block").alias("c_block"),
-        "weight", F.coalesce("passes", F.lit(1)).alias("passes"), F.coalesce("partial", F.lit(0)).alias("partial"),
-        (F.sum("b_tokens").over(order) - F.col("b_tokens")).alias("before"), "b_tokens",
-    ).withColumn("place", F.when(F.col("before") + F.col("b_tokens") <= F.col("partial"), 1).when(F.col("before") < F.col("partial"), 2).otherwise(0))
-    joined = rows.join(cut, null_safe(F.col("__source"), F.col("c_source")) & (F.col("__block") == F.col("c_block")))
+        F.col("b.__source").alias("__c_source"), F.col("b.__block").alias("__c_block"),
+        F.col("weight").alias("__weight"), F.coalesce("passes", F.lit(1)).alias("__passes"), F.coalesce("partial", F.lit(0)).alias("__partial"), before.alias("__before"), F.col("b_tokens").alias("__b_tokens"),
+    ).withColumn("__place", F.when(F.col("__before") + F.col("__b_tokens") <= F.col("__partial"), 1).when(F.col("__before") < F.col("__partial"), 2).otherwise(0))
+    joined = rows.join(cut, null_safe(F.col("__source"), F.col("__c_source")) & (F.col("__block") == F.col("__c_block")))
     inner = Window.partitionBy("__source", "__block").orderBy("__hash", F.col(f"`{key}`"))
-    crossing = joined.where("place = 2").withColumn("extra", ((F.col("before") + F.sum("__tokens").over(inner) <= F.col("partial")) & (F.col("__tokens") > 0)).cast("int"))
-    settled = joined.where("place <> 2").withColumn("extra", ((F.col("place") == 1) & (F.col("__tokens") > 0)).cast("int"))
+    crossing = joined.where("__place = 2").withColumn("__extra", ((F.col("__before") + F.sum("__tokens").over(inner) <= F.col("__partial")) & (F.col("__tokens") > 0)).cast("int"))
+    settled = joined.where("__place <> 2").withColumn("__extra", ((F.col("__place") == 1) & (F.col("__tokens") > 0)).cast("int"))
     both = settled.unionByName(crossing)
-    return both.select(*[F.col(f"`{c}`") for c in names], "weight", "passes", "extra", (F.col("passes") + F.col("extra")).alias("copies"))
+    passes, extra = F.col("__passes"), F.col("__extra")
+    return both.select(*[F.col(f"`{c}`") for c in names], F.col("__weight").alias("weight"), passes.alias("passes"), extra.alias("extra"), (passes + extra).alias("copies"))
