@@ -284,8 +284,9 @@ def components(docs: DataFrame, *, key: str = "doc_id", text: str = "text", word
     The set of a document are its distinct runs of ``words`` words with A-Z lower-cased; fewer words are one run.  Documents are
     linked if ``100 * intersection >= percent * union``, decided on full sets; a component is what links connect, named by its
     smallest key, and that document is kept.  Null texts and texts without words have empty sets and are
-    linked with nothing.  Texts are used whole.  Equal rows fall into one class; repeated keys keep a row each.  Empty tables give
-    empty results; extra columns are ignored.
+    linked with nothing.  Texts are used whole, however long.  Equal rows fall into one class; repeated keys keep a row each, and different
+    texts under one key count as linked with each other.  Of equally good names the smallest key wins.  Empty tables give empty results; extra columns
+    are ignored, whatever their names.
 
     ``percent`` may be 80 or more: the number of bands and the sketch's tolerance are chosen for 80.
     """
@@ -300,7 +301,7 @@ def components(docs: DataFrame, *, key: str = "doc_id", text: str = "text", word
     reps = some.join(classes.select(F.col("rep").alias("id"), "print"), ["id", "print"], "left_semi").select("id", "sketch", "bands")
     dealt = reps.select("id", "bands").mapInArrow(_deal(parts), "part int, keys binary, ids binary").repartitionById(parts, F.col("part"))
     members = dealt.mapInArrow(_shared, "key bigint, id bigint, size bigint").distinct()
-    members = members.join(reps.select("id", "sketch").dropDuplicates(["id"]), "id")
+    members = members.join(reps.select("id", "sketch").repartition("id").dropDuplicates(["id", "sketch"]), "id")
     cells = _in_parts(members, "cell", "key", F.ceil(F.col("size") / BUCKET_PART)).select(F.xxhash64("cell").alias("cell"), "id", "sketch")
     edges = cells.repartition(parts, "cell").mapInArrow(_forest, "a bigint, b bigint")
     candidates = connected_components(edges).withColumnRenamed("id", "member")
@@ -316,7 +317,9 @@ def components(docs: DataFrame, *, key: str = "doc_id", text: str = "text", word
         more = split.withColumn("cell", F.xxhash64("cell")).select("cell", "id", "set", "component").groupBy("cell").applyInPandas(_verified(percent), "a bigint, b bigint")
         labels = connected_components(links.unionAll(more)).select(F.col("id").alias("rep"), "component")
     labels = labels.groupBy("rep").agg(F.min("component").alias("component"))
-    named = classes.join(labels, "rep", "left").select("print", F.coalesce("component", "rep").alias("component"))
-    out = signed.select("id", "n_shingles", "print").join(named, "print", "left")
-    component = F.coalesce("component", "id")
+    # kept, so that both sides of the join are plain exchanges and very many copies of one text can be split over tasks
+    named = checkpointed(classes.join(labels, "rep", "left").select("print", F.coalesce("component", "rep").alias("component")))
+    alone = signed.where("print is null").select("id", "n_shingles", F.col("id").alias("component"))
+    out = some.select("id", "n_shingles", "print").join(named, "print").select("id", "n_shingles", "component").unionAll(alone)
+    component = F.col("component")
     return out.select(F.col("id").alias(key), "n_shingles", component.alias("component_id"), (F.col("id") == component).alias("kept"))
