@@ -20,15 +20,16 @@ PARTS = 256
 
 
 def train_dictionaries(
-    labelled: DataFrame, *, text: str = "text", lang: str = "lang", key: str = "doc_id", docs_per_language: int = 1500, excerpt_chars: int = 300, dictionary_bytes: int = 65536, level: int = 9
+    labelled: DataFrame, *, text: str = "text", lang: str = "lang", key: str = "doc_id", docs_per_language: int = 1500, excerpt_chars: int = 300, dictionary_bytes: int = 65536, level: int = 9, languages: int = 256
 ) -> dict[str, bytes]:
     """Raw-content dictionaries by language, fitted on a bounded sample.
 
-    The bound is a parameter: at most ``docs_per_language`` documents of a language, chosen by a hash of ``key``, with
+    The bounds are parameters: the ``languages`` most frequent labels are learned, with at most ``docs_per_language`` documents of a language, chosen by a hash of ``key``, with
     ``excerpt_chars`` characters each; a dictionary has at most ``dictionary_bytes`` bytes.  The first
     half of a language's share builds a provisional dictionary; of the rest, excerpts which the provisional
     dictionaries give to another language are left out, so wrong labels do not enter the final dictionaries.
-    Rows with null text, null label or no letter are not learned from; no rows give no languages.
+    Rows with null text, null label or no letter are not learned from; no rows give no languages.  Ties go to the smaller hash, key and
+    excerpt, so repeated rows do no harm but take places; extra columns are ignored.
     """
     from pyspark.sql import Window
 
@@ -36,8 +37,10 @@ def train_dictionaries(
     order = Window.partitionBy("lang").orderBy(*chosen)
     # first within parts of a language, so that the whole of a common one is never in one task
     in_part = Window.partitionBy("lang", "part").orderBy(*chosen)
+    learned = labelled.where(F.col(f"`{lang}`").isNotNull()).groupBy(F.col(f"`{lang}`").alias("lang")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).select("lang")
     rows = (
-        labelled.select(F.col(lang).alias("lang"), F.col(key).alias("key"), F.lower(F.substring(text, 1, excerpt_chars)).alias("sample"))
+        labelled.select(F.col(f"`{lang}`").alias("lang"), F.col(f"`{key}`").alias("key"), F.lower(F.substring(F.col(f"`{text}`"), 1, excerpt_chars)).alias("sample"))
+        .join(F.broadcast(learned), "lang", "left_semi")
         .where(F.col("lang").isNotNull() & F.col("sample").isNotNull() & F.col("sample").rlike(HAS_LETTER))
         .withColumn("part", F.pmod(F.xxhash64("key", F.lit(1)), F.lit(PARTS)))
         .withColumn("rank", F.row_number().over(in_part))
@@ -84,19 +87,21 @@ def _smallest(compressors: dict, data: bytes) -> tuple[str, int, int]:
 
 
 def identify(
-    docs: DataFrame, dictionaries: dict[str, bytes], *, text: str = "text", keep: list[str] | None = None, level: int = 9, min_margin: float = 0.001, min_bytes: int = 200
+    docs: DataFrame, dictionaries: dict[str, bytes], *, text: str = "text", keep: list[str] | None = None, level: int = 9, min_gain: int = 1, min_bytes: int = 200
 ) -> DataFrame:
     """The columns ``keep`` (default: all but clashing ones) with ``lang_pred``, ``score`` and ``rejected``.
 
     ``score`` is the share by which the winner's size is below the next one's, in 0 to 1.  ``rejected`` is true for
-    ``und`` (null text, no letter, or no language learned) and where ``score`` is below ``min_margin`` on a text of ``min_bytes``
-    or more; on shorter texts whole-byte sizes tie too easily for the margin to mean anything, so the best guess stands.  Ties go
+    ``und`` (null text, no letter, or no language learned) and where the winner is less than ``min_gain`` bytes ahead on a text of ``min_bytes``
+    or more; on shorter texts whole-byte sizes tie too easily for the margin to mean anything, so the best guess stands.  The margin is
+    taken in bytes because a dictionary's gain doesn't grow with the text: as a share of its size every long text's would look narrow.  Ties go
     to the language first in alphabetical order.  Whole texts are compressed, however long; an empty text
-    is ``und``.  Extra columns pass through; input columns named like an output column are replaced.
+    is ``und``.  Repeated rows get the same result each, an empty table gives no rows.  Extra columns pass through; input columns named like an output
+    column are replaced.
     """
     own = ["lang_pred", "score", "rejected"]
     names = [c for c in (keep if keep is not None else docs.columns) if c not in own]
-    chosen = docs.select(*[F.col(f"`{c}`") for c in names], F.col(text).alias("__text"))
+    chosen = docs.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text}`").alias("__text"))
     schema = chosen.drop("__text").schema
     out_schema = type(schema)(schema.fields[:])
     for name, kind in (("lang_pred", "string"), ("score", "double"), ("rejected", "boolean")):
@@ -121,7 +126,7 @@ def identify(
                 margin = (second - least) / second
                 lang.append(best)
                 score.append(min(1.0, max(0.0, margin)))
-                rejected.append(margin < min_margin and len(data) >= min_bytes)
+                rejected.append(second - least < min_gain and len(data) >= min_bytes)
             columns = [*batch.columns[:-1], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())]
             yield pa.RecordBatch.from_arrays(columns, names=[*names, *own])
 
