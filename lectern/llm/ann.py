@@ -237,7 +237,7 @@ def build_graph(codes: DataFrame, sizes: dict[int, tuple[int, np.ndarray]], *, d
     )
     homes = checkpointed(_split_leaves(dealt(1, HOME, seed + 1), HOME * 2).select("id", F.col("leaf").alias("home")))
     met = _split_leaves(dealt(TREES, LEAF, seed), LEAF * 2).repartition(parts, "leaf").mapInArrow(_leaves(degree, LEAF * 2), EDGE)
-    graph = checkpointed(met.withColumn("fresh", F.lit(1)).repartition(parts, "a").mapInArrow(_top(degree), GRAPH))
+    graph = checkpointed(met.withColumn("fresh", F.lit(1)).repartition(parts, "a").mapInArrow(_top(degree), GRAPH), of_round=True)
     half = degree // 2 + degree // 4
     lowest = F.lit(float("-inf")).cast("float")
     for r in itertools.count():
@@ -247,11 +247,11 @@ def build_graph(codes: DataFrame, sizes: dict[int, tuple[int, np.ndarray]], *, d
         order = Window.partitionBy("b").orderBy(F.desc("fresh"), F.xxhash64("a", "b", F.lit(seed + r)), "a")
         back = graph.withColumn("k", F.row_number().over(order)).where(F.col("k") <= half).select(F.col("b").alias("u"), F.col("a").alias("v"), "fresh")
         around = graph.select(F.col("a").alias("u"), F.col("b").alias("v"), "fresh").unionAll(back).groupBy("u", "v").agg(F.max("fresh").alias("fresh"))
-        pairs = checkpointed(around.join(homes, F.col("u") == homes.id).select("home", "u", "v", "fresh"))
+        pairs = checkpointed(around.join(homes, F.col("u") == homes.id).select("home", "u", "v", "fresh"), of_round=True)
         vectors = pairs.select("home", "v").distinct().join(known, F.col("v") == known.id).select(F.col("home").alias("place"), "id", "code", "scale", "worst")
         met = pairs.groupBy("home").cogroup(vectors.groupBy("place")).applyInArrow(_join_locally(degree), EDGE)
         both = graph.withColumn("fresh", F.lit(0)).unionAll(met.withColumn("fresh", F.lit(1)))
-        new = checkpointed(both.repartition(parts, "a").mapInArrow(_top(degree), GRAPH))
+        new = checkpointed(both.repartition(parts, "a").mapInArrow(_top(degree), GRAPH), of_round=True)
         for old in (graph, pairs):
             released(old)
         graph = new
@@ -335,7 +335,7 @@ def _walk(state: DataFrame, graph: DataFrame, codes: DataFrame, queries: DataFra
     ahead = Window.partitionBy("query_id", "done").orderBy(F.desc("s"), "b")
     width, kept = max(1, int(beam * WIDTH)), None
     while True:
-        state = checkpointed(state.withColumn("k", F.row_number().over(ahead)).withColumn("go", (F.col("done") == 0) & (F.col("k") <= width)).drop("k"))
+        state = checkpointed(state.withColumn("k", F.row_number().over(ahead)).withColumn("go", (F.col("done") == 0) & (F.col("k") <= width)).drop("k"), of_round=True)
         if kept is not None:
             released(kept)
         kept = state

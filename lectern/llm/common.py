@@ -16,9 +16,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
+def checkpointed(df: DataFrame, *, of_round: bool = False) -> DataFrame:
     """``df`` computed once and kept in the shared checkpoint folder, so that a lost executor costs nothing.
 
+    Spark keeps its estimate of the size with the rows, and estimates of joins are products: over the rounds of a loop they
+    become numbers of millions of digits.  What is kept ``of_round`` has no estimate; real sizes are known when it is read.
+
     The folder is the session's ``spark.checkpoint.dir``.  Only a local master may leave it unset and gets a temporary one:
     elsewhere such a folder would be one machine's own disk.
     """
@@ -29,7 +32,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
         if not folder and not context.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="lectern-"))
-    return df.checkpoint(eager=True)
+    kept = df.checkpoint(eager=True)
+    if of_round:
+        rows = kept._jdf.queryExecution().logical().rdd()
+        kept = DataFrame(spark._jsparkSession.internalCreateDataFrame(rows, kept._jdf.schema(), False), spark)
+    return kept
 
 
 def released(df: DataFrame) -> None:
@@ -84,17 +91,17 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     unsettled edges comes to the driver, and a round's files go when the next round is kept.
     Loops and repeated edges count for nothing; null ends must not occur; no edges give no rows.
     """
-    e = checkpointed(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    e = checkpointed(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), of_round=True)
     for _ in range(max_rounds):
-        low = checkpointed(e.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
+        low = checkpointed(e.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), of_round=True)
         # settled: a star forest, in which no id is both a root and a leaf and each leaf hangs on one root
         if not low.where("n > 1").limit(1).count() and not e.join(low.select(F.col("u").alias("v")), "v", "left_semi").limit(1).count():
             released(low)
             break
         hung = e.join(low.select(F.col("u").alias("v"), "m"), "v", "left").select("u", F.coalesce("m", "v").alias("v"))
-        low2 = checkpointed(hung.groupBy("u").agg(F.min("v").alias("m")))
+        low2 = checkpointed(hung.groupBy("u").agg(F.min("v").alias("m")), of_round=True)
         others = hung.join(low2, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        new = checkpointed(low2.select("u", F.col("m").alias("v")).unionAll(others).distinct())
+        new = checkpointed(low2.select("u", F.col("m").alias("v")).unionAll(others).distinct(), of_round=True)
         for old in (e, low, low2):
             released(old)
         e = new
