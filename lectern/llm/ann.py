@@ -10,8 +10,8 @@
 4. How many best nodes a query keeps is not fixed: a sample of the queries is also compared with all rows, and while too
    few of its true neighbours are found, all queries walk on with twice as many.
 
-All of this runs at every size of the table.  Up to the last step vectors are bytes with a scale each, a quarter of their size.  Nodes that lie
-close have a home in common, and in a round of the descent a vector travels once to each home that needs it, not to each node.
+All of this runs at every size of the table.  Up to the last step vectors are bytes with a scale each, a quarter of their size.  In a round of the descent a
+vector travels to each node that lists it; old neighbours go there every other round only, and settled rows send few.
 """
 
 from __future__ import annotations
@@ -28,15 +28,13 @@ from lectern.llm.balltree import usable, vectors_of
 from lectern.llm.common import checkpointed, released, shuffle_partitions
 from lectern.llm.textnum import mixed
 
-DEGREE, TREES, LEAF = 40, 6, 500
-#: Nodes that share a home in a round of the descent, about.
-HOME = 1_500
+DEGREE, TREES, LEAF = 40, 4, 500
 #: NN-descent ends with the round that replaces no more than this share of the edges.
-REPLACED = 0.02
+REPLACED = 0.05
 #: Nodes a query keeps at first, and the share of them it expands in a step.
 BEAM, WIDTH = 160, 0.3
 #: Queries compared with all rows, about, and the share of their true neighbours that has to be found.
-SAMPLE, RECALL = 256, 0.95
+SAMPLE, RECALL = 256, 0.93
 EDGE = "a bigint, b bigint, s float"
 #: An edge of the graph, and 1 if the last round brought it.
 GRAPH = EDGE + ", fresh int"
@@ -44,6 +42,8 @@ GRAPH = EDGE + ", fresh int"
 HELD, SMALL = 500_000, 100_000
 #: Rows of a leaf compared with the rest at once.
 BLOCK = 256
+#: Nodes whose neighbours' vectors a task unpacks at once.
+NODES = 512
 
 
 def _bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,36 +135,42 @@ def _top(degree: int):
 
 
 def _join_locally(degree: int):
-    """Around each node of a home: scores of the pairs of its neighbours with a fresh edge, where one beats the other's worst neighbour."""
-    def run(pairs: pa.Table, vectors: pa.Table) -> pa.Table:
+    """Around each node: scores of the pairs of its neighbours with a fresh edge, where one beats the other's worst neighbour."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = _arrow(batches)
+        if t is None:
+            return
+        order = np.lexsort((-t.column("fresh").to_numpy(), t.column("id").to_numpy(), t.column("u").to_numpy()))
+        u, v = t.column("u").to_numpy()[order], t.column("id").to_numpy()[order]
+        first = np.ones(len(u), bool)  # a neighbour ahead and back counts once
+        first[1:] = (u[1:] != u[:-1]) | (v[1:] != v[:-1])
+        order, u = order[first], u[first]
+        cuts = np.append(np.flatnonzero(np.concatenate([[True], u[1:] != u[:-1]])), len(u))
+        t = t.drop_columns(["u"])
         found: list = [[], [], []]
         held = 0
-        if pairs.num_rows and vectors.num_rows:
-            ids = vectors.column("id").to_numpy()
-            order = np.argsort(ids)
-            ids, x = ids[order], _matrix(vectors.column("code").to_pylist(), vectors.column("scale").to_numpy())[order]
-            worst = vectors.column("worst").to_numpy()[order]
-            u, v, fresh = (pairs.column(c).to_numpy() for c in ("u", "v", "fresh"))
-            order = np.argsort(u, kind="stable")
-            u, at, fresh = u[order], np.searchsorted(ids, v[order]), fresh[order] > 0
-            cuts = np.append(np.flatnonzero(np.concatenate([[True], u[1:] != u[:-1]])), len(u))
-            for a, b in zip(cuts[:-1], cuts[1:]):
-                new = fresh[a:b]
+        for at in range(0, len(cuts) - 1, NODES):  # vectors of the next nodes only
+            nodes = cuts[at : at + NODES + 1]
+            part = t.take(pa.array(order[nodes[0] : nodes[-1]]))
+            ids, worst, fresh = (part.column(c).to_numpy() for c in ("id", "worst", "fresh"))
+            codes, scales = part.column("code").to_pylist(), part.column("scale").to_numpy()
+            for a, b in zip(nodes[:-1] - nodes[0], nodes[1:] - nodes[0]):
+                new = fresh[a:b] > 0
                 if not new.any():
                     continue
-                rows = at[a:b]
-                s = x[rows] @ x[rows].T
-                good = (s > worst[rows][:, None]) & (new[:, None] | new[None, :])
+                x = _matrix(codes[a:b], scales[a:b])
+                s = x @ x.T
+                good = (s > worst[a:b, None]) & (new[:, None] | new[None, :])
                 np.fill_diagonal(good, False)
                 i, j = np.nonzero(good)
-                for kept, more in zip(found, (ids[rows[i]], ids[rows[j]], s[i, j])):
+                for kept, more in zip(found, (ids[a:b][i], ids[a:b][j], s[i, j])):
                     kept.append(more)
                 held += len(i)
                 if held > HELD:
-                    found = [[c] for c in _best(*map(np.concatenate, found), degree)]
-                    held = 0
-        a, b, s = _best(*map(np.concatenate, found), degree) if found[0] else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float32))
-        return pa.table({"a": a.astype(np.int64), "b": b.astype(np.int64), "s": s.astype(np.float32)})
+                    yield from _edges(*_best(*map(np.concatenate, found), degree))
+                    found, held = [[], [], []], 0
+        if found[0]:
+            yield from _edges(*_best(*map(np.concatenate, found), degree))
 
     return run
 
@@ -232,11 +238,9 @@ def build_graph(codes: DataFrame, sizes: dict[int, tuple[int, np.ndarray]], *, d
     """
     n = sum(rows for rows, _ in sizes.values())
     parts = max(shuffle_partitions(codes.sparkSession), -(-n // 20_000))
-    dealt = lambda trees, leaf, seed: codes.mapInArrow(
-        _leaf_numbers({d: _depth(rows, leaf) for d, (rows, _) in sizes.items()}, {d: m for d, (_, m) in sizes.items()}, trees, seed), "id bigint, code binary, scale float, leaf bigint"
-    )
-    homes = checkpointed(_split_leaves(dealt(1, HOME, seed + 1), HOME * 2).select("id", F.col("leaf").alias("home")))
-    met = _split_leaves(dealt(TREES, LEAF, seed), LEAF * 2).repartition(parts, "leaf").mapInArrow(_leaves(degree, LEAF * 2), EDGE)
+    leaves = _leaf_numbers({d: _depth(rows, LEAF) for d, (rows, _) in sizes.items()}, {d: m for d, (_, m) in sizes.items()}, TREES, seed)
+    dealt = codes.mapInArrow(leaves, "id bigint, code binary, scale float, leaf bigint")
+    met = _split_leaves(dealt, LEAF * 2).repartition(parts, "leaf").mapInArrow(_leaves(degree, LEAF * 2), EDGE)
     graph = checkpointed(met.withColumn("fresh", F.lit(1)).repartition(parts, "a").mapInArrow(_top(degree), GRAPH), of_round=True)
     half = degree // 2 + degree // 4
     lowest = F.lit(float("-inf")).cast("float")
@@ -244,19 +248,18 @@ def build_graph(codes: DataFrame, sizes: dict[int, tuple[int, np.ndarray]], *, d
         worst = graph.groupBy("a").agg(F.when(F.count("*") >= degree, F.min("s")).otherwise(lowest).alias("worst"))
         known = codes.join(worst, codes.id == worst.a, "left").select("id", "code", "scale", F.coalesce("worst", lowest).alias("worst"))
         # back at most ``half``, fresh ones first, as a row may be the neighbour of very many; what this misses a later round meets
-        order = Window.partitionBy("b").orderBy(F.desc("fresh"), F.xxhash64("a", "b", F.lit(seed + r)), "a")
-        back = graph.withColumn("k", F.row_number().over(order)).where(F.col("k") <= half).select(F.col("b").alias("u"), F.col("a").alias("v"), "fresh")
-        around = graph.select(F.col("a").alias("u"), F.col("b").alias("v"), "fresh").unionAll(back).groupBy("u", "v").agg(F.max("fresh").alias("fresh"))
-        pairs = checkpointed(around.join(homes, F.col("u") == homes.id).select("home", "u", "v", "fresh"), of_round=True)
-        vectors = pairs.select("home", "v").distinct().join(known, F.col("v") == known.id).select(F.col("home").alias("place"), "id", "code", "scale", "worst")
-        met = pairs.groupBy("home").cogroup(vectors.groupBy("place")).applyInArrow(_join_locally(degree), EDGE)
+        mix = F.xxhash64("a", "b", F.lit(seed + r))
+        goes = (F.col("fresh") == 1) | (F.pmod(mix, F.lit(2)) == 0)
+        ahead = graph.where(goes).select(F.col("a").alias("u"), F.col("b").alias("v"), "fresh")
+        order = Window.partitionBy("b").orderBy(F.desc("fresh"), mix, "a")
+        back = graph.withColumn("k", F.row_number().over(order)).where((F.col("k") <= half) & goes).select(F.col("b").alias("u"), F.col("a").alias("v"), "fresh")
+        around = ahead.unionAll(back).join(known, F.col("v") == known.id).select("u", "id", "code", "scale", "worst", "fresh")
+        met = around.repartition(parts, "u").mapInArrow(_join_locally(degree), EDGE)
         both = graph.withColumn("fresh", F.lit(0)).unionAll(met.withColumn("fresh", F.lit(1)))
         new = checkpointed(both.repartition(parts, "a").mapInArrow(_top(degree), GRAPH), of_round=True)
-        for old in (graph, pairs):
-            released(old)
+        released(graph)
         graph = new
         if (graph.agg(F.avg("fresh")).first()[0] or 0.0) <= replaced:
-            released(homes)
             return graph.drop("fresh")
 
 
