@@ -304,6 +304,18 @@ def decode(encoded: DataFrame, *, ids: str = "ids", keep: list[str], path: str |
     return in_small_batches(chosen).mapInArrow(run, schema)
 
 
+def encode_checked(docs: DataFrame, *, text: str = "text", keep: list[str], path: str | None = None) -> DataFrame:
+    """``keep`` with ``ids``, ``n_tokens`` and ``exact``: whether decoding the ids gives the text back; encodes and decodes in one worker.
+
+    Nulls, empty and long texts, repeated rows, empty tables and clashing names are treated as by ``encode``.
+    """
+    def make(bpe: TrieBpe, texts: list[str]):
+        ids = bpe.encode_batch(texts)
+        return ids, [len(x) // 4 for x in ids], [bpe.decode(x) == t for x, t in zip(ids, texts)]
+
+    return _mapped(docs, text, keep, [("ids", "binary", pa.binary()), ("n_tokens", "long", pa.int64()), ("exact", "boolean", pa.bool_())], path, make)
+
+
 def encode_digest(docs: DataFrame, *, text: str = "text", keep: list[str], path: str | None = None) -> DataFrame:
     """``keep`` with ``n_tokens``, ``ids_sha256`` and ``decoded_sha256``: encodes and decodes without moving the ids.
 
