@@ -64,9 +64,8 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null text counts as an empty one, with no ids.  Every row has its result, however long its text; an empty table gives no rows, and extra
     columns are left out.
     """
-    ids = bpe.encode(docs, keep=["doc_id", "lang", "source", "text"])
-    back = bpe.decode(ids, keep=ids.columns)
-    return back.select("doc_id", "lang", "source", "n_tokens", "ids", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("exact"))
+    found = bpe.encode_checked(docs, keep=["doc_id", "lang", "source"])
+    return found.select("doc_id", "lang", "source", "n_tokens", "ids", "exact")
 
 
 STAGES = [("language", identified), ("near_duplicates", deduplicated), ("personal_data", redacted), ("mixing", mixed), ("encoding", encoded)]
