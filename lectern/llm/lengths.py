@@ -15,7 +15,7 @@ def length_histogram(lengths: DataFrame, *, n_tokens: str = "n_tokens", block: i
     """One row per distinct length: ``n_tokens``, ``n_docs`` and the suffix sums that answer every context limit.
 
     ``docs_ge`` and ``tokens_ge`` count the documents at least so long and their tokens.  ``docs_le`` counts those
-    at most so long: the p-quantile is the first length whose ``docs_le`` reaches p of all.  ``truncated_total`` is the
+    at most so long and ``share_le`` their share: the p-quantile is the first length whose share reaches p.  ``total_tokens`` is the whole corpus.  ``truncated_total`` is the
     corpus total after cutting every document to this length: the tokens of shorter documents plus
     length times ``docs_ge``.  Null lengths count as 0, repeated rows once each, very long ones like any other; an empty table gives no rows, and extra
     columns are ignored.
@@ -49,6 +49,8 @@ def length_histogram(lengths: DataFrame, *, n_tokens: str = "n_tokens", block: i
             "tokens_ge",
             (F.col("all_docs") - F.col("docs_ge") + F.col("n_docs")).alias("docs_le"),
             (F.col("all_tokens") - F.col("tokens_ge") + F.col("n_tokens") * F.col("docs_ge")).alias("truncated_total"),
+            ((F.col("all_docs") - F.col("docs_ge") + F.col("n_docs")) / F.col("all_docs")).alias("share_le"),
+            F.col("all_tokens").alias("total_tokens"),
         )
     )
 

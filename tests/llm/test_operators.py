@@ -103,6 +103,7 @@ def test_length_histogram(spark):
         n = r["n_tokens"]
         assert r["n_docs"] == full.count(n) and r["docs_ge"] == sum(v >= n for v in full) and r["docs_le"] == sum(v <= n for v in full)
         assert r["tokens_ge"] == sum(v for v in full if v >= n) and r["truncated_total"] == sum(min(v, n) for v in full)
+        assert r["share_le"] == r["docs_le"] / len(full) and r["total_tokens"] == sum(full)
     assert [(r[0], r[1], r[2]) for r in lengths.totals_at(h, [6, 2000]).collect()] == [(k, sum(min(v, k) for v in full), sum(v > k for v in full)) for k in (6, 2000)]
     assert [r["n_tokens"] for r in lengths.quantiles(h, [0.1, 0.5, 1.0]).collect()] == [full[math.ceil(p * len(full)) - 1] for p in (0.1, 0.5, 1.0)]
 
