@@ -157,3 +157,24 @@ def test_special_tokens_of_any_form(tmp_path, spark):
 def test_digest_of_nothing(spark):
     got = bpe.encode_digest(spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string"), keep=["doc_id"]).collect()
     assert {(r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in got} == {(0, *[hashlib.sha256(b"").hexdigest()] * 2)}
+
+
+def test_personal_data_sql_on_all_kinds(spark):
+    import duckdb
+    import pandas as pd
+
+    from lectern.llm.sql import OP6
+
+    texts = [
+        None, "", "SSN: 123-45-6789, 123-45-6780 and 000-12-3456", "x123-45-6789 ssn\n123-45-6789é123-45-6789", "DE89370400440532013000 Please, GB82 WEST 1234 5698 7654 32\nDE89 3704 0044 0532 0130 00",
+        "DE89370400440532013001", "é😀 social security 123-45-6789-1 123-45-6789", "a@b.c 4111 1111 1111 1111 at 10.0.0.1 or 256.1.1.1, call +1 (456) 555-2186", "ssn " + "y" * 37 + " 123-45-6789",
+    ]
+    rows = list(enumerate(texts))
+    documents = pd.DataFrame(rows, columns=["doc_id", "text"])
+    db = duckdb.connect()
+    db.register("documents", documents)
+    want = db.sql(OP6)
+    got = pii.digest(pii.find(spark.createDataFrame(rows, "doc_id long, text string"), keep=["doc_id"]), "doc_id").collect()
+    assert sorted(tuple(r[c] for c in want.columns) for r in got) == sorted(want.fetchall())
+    kinds = [s.split(":")[0] for r in got for s in r["spans"].split(",")]
+    assert kinds.count("ssn") >= 5 and kinds.count("iban") == 3
