@@ -23,7 +23,7 @@ from lectern.llm import textnum
 from lectern.llm.common import in_small_batches, shuffle_partitions
 
 #: Bytes of text in a chunk; a longer document is a chunk of its own.  Arrays over its bytes take 8 times as much each.
-CHUNK = 1_900_000
+CHUNK = 1_000_000
 #: Bytes of text for each partition, so that the entries of one fit in memory at any size of the table.
 PARTITION = 8 << 20
 #: Flags of an entry: the run is a block, or it occurs more than once within its chunk.
