@@ -12,20 +12,24 @@ arrays.  A run that occurs often within a chunk probes once for all, so frequent
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import textnum
 from lectern.llm.common import in_small_batches, shuffle_partitions
 
-#: Bytes of text in a chunk; a longer document is a chunk of its own.  Arrays over its bytes take 8 times as much each.
-CHUNK = 1_000_000
-#: Bytes of text for each partition, so that the entries of one fit in memory at any size of the table.
+#: Bytes of text for each partition on executors with up to 900 MB of heap a core; it grows with their memory, as one task holds a partition's entries.
 PARTITION = 8 << 20
+#: Heap of a core for each byte of a partition.
+HEAP_SHARE = 112
+#: A chunk is half a partition of text but no less than this; a longer document is a chunk of its own, and a row counts ``ROW`` bytes more than its text.
+SMALL_CHUNK, ROW = 1 << 18, 16
+GOLDEN = 0.6180339887498949
 #: Flags of an entry: the run is a block, or it occurs more than once within its chunk.
 BLOCK, AGAIN = 1, 2
 
@@ -35,51 +39,73 @@ def _same(k: int) -> int:
     return k
 
 
-def _squeeze(*arrays: np.ndarray) -> bytes:
-    """Arrays as compressed bytes, each integer array split into planes of its bytes."""
+@lru_cache(maxsize=1)
+def _codec():
     import zstandard as zs
 
-    c = zs.ZstdCompressor(level=1)
-    out = []
-    for a in arrays:
-        body = c.compress(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes())
-        out += [np.array([len(a), a.itemsize, len(body)], np.int64).tobytes(), body]
-    return b"".join(out)
+    return zs.ZstdCompressor(level=1), zs.ZstdDecompressor()
 
 
-def _expand(data: bytes) -> list[np.ndarray]:
-    import zstandard as zs
+def _squeeze(steps: np.ndarray, *arrays: np.ndarray) -> bytes:
+    """Arrays of one length as bytes: the steps between places compressed, split into planes of their bytes; hashed numbers don't compress."""
+    planes = _codec()[0].compress(np.ascontiguousarray(steps.view(np.uint8).reshape(len(steps), 4).T).tobytes())
+    head = np.array([len(steps), len(planes)], np.uint32).tobytes()
+    return b"".join([head, bytes([len(arrays), *(a.itemsize for a in arrays)]), planes, *(a.tobytes() for a in arrays)])
+
 
-    d, at, out = zs.ZstdDecompressor(), 0, []
-    while at < len(data):
-        n, size, length = np.frombuffer(data, np.int64, 3, at)
-        planes = np.frombuffer(d.decompress(data[at + 24 : at + 24 + length], max_output_size=int(n * size) or 1), np.uint8).reshape(size, n)
-        out.append(np.ascontiguousarray(planes.T).reshape(-1).view(np.dtype(f"u{size}")))
-        at += 24 + int(length)
+def _expand(data: bytes) -> list[np.ndarray]:
+    """Places and the other arrays of ``_squeeze``."""
+    n, length = np.frombuffer(data, np.uint32, 2).tolist()
+    sizes = data[9 : 9 + data[8]]
+    at = 9 + len(sizes)
+    planes = np.frombuffer(_codec()[1].decompress(data[at : at + length], max_output_size=4 * n), np.uint8).reshape(4, n)
+    out = [np.cumsum(np.ascontiguousarray(planes.T).reshape(-1).view(np.uint32), dtype=np.uint32)]
+    at += length
+    for size in sizes:
+        out.append(np.frombuffer(data, np.dtype(f"u{size}"), n, at))
+        at += n * size
     return out
 
 
-def _pack(parts: int):
-    """Rows as chunks: (partition it stays in, its name, compressed rows)."""
+def _steps(places: np.ndarray) -> np.ndarray:
+    """Places as their differences, the first one from 0."""
+    return np.diff(places.astype(np.uint32), prepend=np.uint32(0))
+
+
+def _pack(parts: int, size: int):
+    """Rows as chunks of about ``size`` bytes: (partition it stays in, its name, compressed rows).
+
+    A task's chunks go to neighbouring partitions, and multiples of the golden ratio spread the tasks evenly, however many there are.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.compute as pc
         from pyspark import TaskContext
 
-        task, seq = TaskContext.get().partitionId(), 0
+        task = TaskContext.get().partitionId()
+        begin = int(task * GOLDEN % 1 * parts)
+
+        def chunk(slices: list[pa.RecordBatch], seq: int) -> pa.RecordBatch:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, slices[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+                for s in slices:
+                    w.write_batch(s)
+            to, name = (begin + seq) % parts, (task << 24) + seq
+            return pa.RecordBatch.from_arrays([pa.array([to], pa.int32()), pa.array([name], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["part", "name", "body"])
+
+        slices, total, seq = [], 0, 0
         for batch in batches:
-            sizes, at = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist(), 0
-            while at < batch.num_rows:
-                end, total = at + 1, sizes[at]
-                while end < batch.num_rows and total + sizes[end] <= CHUNK:
-                    total += sizes[end]
-                    end += 1
-                sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
-                    w.write_batch(batch.slice(at, end - at))
-                name = (task << 24) + seq
-                to = int(textnum.mixed(np.array([name], np.uint64))[0] % np.uint64(parts))
-                yield pa.RecordBatch.from_arrays([pa.array([to], pa.int32()), pa.array([name], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["part", "name", "body"])
-                seq, at = seq + 1, end
+            start = 0
+            for i, n in enumerate(pc.add(pc.fill_null(pc.binary_length(batch.column(1)), 0), ROW).to_pylist()):
+                if total and total + n > size:
+                    if i > start:
+                        slices.append(batch.slice(start, i - start))
+                    yield chunk(slices, seq)
+                    slices, total, seq, start = [], 0, seq + 1, i
+                total += n
+            if batch.num_rows > start:
+                slices.append(batch.slice(start))
+        if slices:
+            yield chunk(slices, seq)
 
     return run
 
@@ -121,19 +147,18 @@ def _send(numbers, second, places, flags, parts: int, sender: tuple[int, int], w
     if not len(starts):
         return
     first = order[starts]
-    to = ((numbers[first] >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
+    upper = numbers[first] >> np.uint64(32)
+    to = (upper % np.uint64(parts)).astype(np.int64)
     by = np.lexsort((places[first], to))
-    first, both, to = first[by], both[by], to[by]
-    cuts = np.searchsorted(to, np.arange(parts + 1))
-    for p in np.flatnonzero(cuts[:-1] < cuts[1:]).tolist():
-        s = slice(cuts[p], cuts[p + 1])
-        own = first[s]
-        at = places[own].astype(np.uint32)
-        # the partition holds the rest of the upper half
-        short = (numbers[own] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-        rest = ((numbers[own] >> np.uint64(32)) // np.uint64(parts)).astype(np.uint32)
-        body = [rest, second[own]] if wide else [(rest & np.uint32(0xFF)).astype(np.uint8)]
-        yield p, (*sender, _squeeze(np.diff(at, prepend=np.uint32(0)).astype(np.uint32), both[s].astype(np.uint8), short, *body))
+    first, both, to = first[by], both[by].astype(np.uint8), to[by]
+    # the partition holds the rest of the upper half
+    short, rest = (numbers[first] & np.uint64(0xFFFFFFFF)).astype(np.uint32), (upper[by] // np.uint64(parts)).astype(np.uint32)
+    body = [both, short, rest, second[first]] if wide else [both, short, rest.astype(np.uint8)]
+    steps = _steps(places[first])
+    cuts = np.append(np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]])), len(to))
+    steps[cuts[:-1]] = places[first[cuts[:-1]]]
+    for p, a, b in zip(to[cuts[:-1]].tolist(), cuts[:-1].tolist(), cuts[1:].tolist()):
+        yield p, (*sender, _squeeze(steps[a:b], *(x[a:b] for x in body)))
 
 
 def _probe(block: int, parts: int):
@@ -156,7 +181,7 @@ def _answer(needs_block: bool):
             at, flag, short, *rest = _expand(data)
             senders.append((part, name))
             firsts.append(firsts[-1] + len(at))
-            places.append(np.cumsum(at, dtype=np.uint32))
+            places.append(at)
             flags.append(flag)
             key = short.astype(np.uint64) | rest[0].astype(np.uint64) << np.uint64(32)
             keys.append(key if len(rest) == 1 else np.rec.fromarrays([key, rest[1]]))
@@ -178,7 +203,7 @@ def _answer(needs_block: bool):
         for (part, name), a, b, at in zip(senders, firsts[:-1], firsts[1:], places):
             found = at[hit[a:b]]
             if len(found):
-                yield part, (name, _squeeze(np.diff(found, prepend=np.uint32(0)).astype(np.uint32)))
+                yield part, (name, _squeeze(_steps(found)))
 
     return run
 
@@ -190,7 +215,7 @@ def _told(rows: Iterator) -> Iterator[tuple[int, bytes, np.ndarray]]:
         if len(data) == 2:
             bodies[name] = data[0]
         else:
-            told.setdefault(name, []).append(np.cumsum(_expand(data[0])[0], dtype=np.uint32))
+            told.setdefault(name, []).append(_expand(data[0])[0])
     for name, body in bodies.items():
         yield name, body, np.concatenate(told[name]).astype(np.int64) if name in told else np.empty(0, np.int64)
 
@@ -249,6 +274,15 @@ def _finish(window: int):
     return run
 
 
+def partition_bytes(spark: SparkSession) -> int:
+    """Bytes of text for each partition: ``PARTITION``, or a ``HEAP_SHARE``-th of an executor core's heap, if the session names both and that is more."""
+    conf = spark.sparkContext.getConf()
+    heap, cores = conf.get("spark.executor.memory"), conf.get("spark.executor.cores")
+    if not heap or not cores:
+        return PARTITION
+    return max(PARTITION, (spark._jvm.org.apache.spark.util.Utils.memoryStringToMb(heap) << 20) // int(cores) // HEAP_SHARE)
+
+
 def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", window: int = 35) -> DataFrame:
     """``(key, n_words, n_removed, kept)``: each document without the words that an exact repeat covers.
 
@@ -258,13 +292,13 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
 
     Null, empty and short texts have nothing removed.  Whole texts are used, however long.  Equal rows repeat each
     other.  Keys may be of any type and need not be distinct; extra columns are ignored; an empty table gives no rows.
-    A partition holds about ``PARTITION`` bytes of text, so their number grows with the table.
+    Partitions hold about ``partition_bytes`` of text, so their number grows with the table.
     """
     spark, block = docs.sparkSession, (window + 1) // 2
     slim = in_small_batches(docs).select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("string").alias("text"))
     size = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(shuffle_partitions(spark), -(-size // PARTITION))
-    packed = slim.mapInArrow(_pack(parts), "part int, name bigint, body binary").rdd
+    parts = max(shuffle_partitions(spark), -(-size // partition_bytes(spark)))
+    packed = slim.mapInArrow(_pack(parts, max(SMALL_CHUNK, size // parts // 2)), "part int, name bigint, body binary").rdd
     chunks = packed.map(lambda r: (r[0], (r[1], bytes(r[2])))).partitionBy(parts, _same)
     # a union of equally partitioned sets stays where it is: from here on only probes and answers move
     numbered = lambda rdd, f: rdd.mapPartitionsWithIndex(f)

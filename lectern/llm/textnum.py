@@ -44,8 +44,25 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+#: Bytes of text numbered at once; arrays over them take 8 times as much each.  A longer text is numbered whole.
+BLOCK_BYTES = 1 << 19
+
+
 def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """A number for every word of the texts in turn, and where each text's words begin (one place more than texts)."""
+    found, bounds, start, total = [], [np.zeros(1, np.int64)], 0, 0
+    for i, text in enumerate(texts):
+        if total + len(text) >= BLOCK_BYTES and total:
+            found.append(_block_words(texts[start:i]))
+            start, total = i, 0
+        total += len(text) + 1
+    found.append(_block_words(texts[start:]))
+    for numbers, own in found:
+        bounds.append(own[1:] + bounds[-1][-1])
+    return np.concatenate([numbers for numbers, _ in found]), np.concatenate(bounds)
+
+
+def _block_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     data = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)
     offsets = np.concatenate([[0], np.cumsum(np.array([len(t) + 1 for t in texts], dtype=np.int64))])
     white = _WHITE[data]
