@@ -16,8 +16,8 @@ def test_chunks_and_partitions_change_nothing(spark, monkeypatch):
     texts += [texts[0] + " " + texts[1], texts[2], None, *[""] * 300, "a " * 90, " ".join(texts[:40])]
     whole = _rows(spark, texts)
     assert sum(r[2] for r in whole) > 5_000
-    monkeypatch.setattr(substring, "PARTITION", 2_000)
-    monkeypatch.setattr(substring, "SMALL_CHUNK", 500)
+    monkeypatch.setattr(substring, "PARTITION", 12_000)
+    monkeypatch.setattr(substring, "SMALL_CHUNK", 1_500)
     assert _rows(spark, texts) == whole
 
 
