@@ -6,10 +6,10 @@
    in it; those found on a good share of the host's pages are boilerplate.  Tokens that such runs cover go, what
    is left of a block stays.
 
-The array is sparse: of the suffixes of any ``window`` places in a row it holds the one whose first tokens have the smallest hash, and
-those that begin a block or end with it.  A run of several blocks is therefore covered whole, and one that begins or ends inside
-a block up to at most ``window - 1`` tokens at that end.  It is dealt by those first tokens, not held as one: equal
-prefixes meet wherever they come from, counted before they are exchanged, and a host with a third of all pages is spread like any other.
+The array is not held as one but dealt by those first tokens: equal prefixes meet wherever they come from, counted before they are exchanged,
+and a host with a third of all pages is spread like any other.  It is built in two steps that lose no suffix.  A run of ``window`` tokens has a sign: of its
+runs of ``PART`` tokens the one with the smallest hash, the same wherever the run stands and mostly that of its neighbours too.  Signs are counted first; a
+run can't be on more pages than its sign, so only suffixes whose sign is on a good share of the pages, but all of these, go into the array.
 """
 
 from __future__ import annotations
@@ -210,40 +210,67 @@ def host(url: Column) -> Column:
     return F.when(found != "", found)
 
 
+#: Tokens of the run that is the sign of a longer one.
+PART = 4
+
+
 class _Streams:
-    """The token streams of a batch's pages, and the suffixes that the sparse array holds of them."""
+    """The token streams of a batch's pages, and every suffix of at least ``window`` tokens."""
 
     def __init__(self, pages: list[list[str]], window: int):
-        self.numbers, self.bounds = textnum.words([b.encode("utf-8", "surrogatepass") for found in pages for b in found])
+        self.numbers, bounds = textnum.words([b.encode("utf-8", "surrogatepass") for found in pages for b in found])
         firsts = np.concatenate([[0], np.cumsum([len(found) for found in pages])]).astype(np.int64)
-        self.ends = self.bounds[firsts]  # where each page's tokens begin, and the end
+        self.ends = bounds[firsts]  # where each page's tokens begin, and the end
         page = np.repeat(np.arange(len(pages)), np.diff(self.ends))
         heads = textnum.windows(self.numbers, window)
-        n = len(heads)
-        places = [np.empty(0, np.int64)]
-        if n:
-            inside = page[:n] == page[window - 1 :]
-            edges = np.concatenate([self.bounds[:-1], self.bounds[1:] - window])
-            edges = edges[(edges >= 0) & (edges < n)]
-            places.append(edges[inside[edges]])
-            if n >= window:
-                least = np.lib.stride_tricks.sliding_window_view(heads, window).argmin(axis=1)
-                whole = np.flatnonzero(page[: len(least)] == page[2 * window - 2 :])
-                places.append(whole + least[whole])
-        self.places = np.unique(np.concatenate(places))
-        self.heads, self.page = heads[self.places].view(np.int64), page[self.places] if n else np.empty(0, np.int64)
+        self.places = np.flatnonzero(page[: len(heads)] == page[window - 1 :])
+        self.heads, self.page, self.window = heads[self.places].view(np.int64), page[self.places], window
+
+    def signs(self) -> np.ndarray:
+        """The sign of each suffix's head."""
+        part = min(PART, self.window)
+        parts = textnum.windows(self.numbers, part)
+        n = max(0, len(self.numbers) - self.window + 1)
+        least = parts[:n].copy()
+        for at in range(1, self.window - part + 1):
+            np.minimum(least, parts[at : at + n], out=least)
+        return least[self.places].view(np.int64)
+
+
+def _once(numbers: np.ndarray, page: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each number of a page once."""
+    order = np.lexsort((numbers, page))
+    numbers, page = numbers[order], page[order]
+    first = np.ones(len(numbers), bool)
+    first[1:] = (numbers[1:] != numbers[:-1]) | (page[1:] != page[:-1])
+    return numbers[first], page[first]
+
+
+def _signs(window: int):
+    """Each sign of a page once, with the page's site."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            s = _Streams([blocks(h or "")[0] for h in batch.column(1).to_pylist()], window)
+            signs = s.signs()
+            new = np.ones(len(signs), bool)  # neighbours mostly have the same
+            new[1:] = (signs[1:] != signs[:-1]) | (s.page[1:] != s.page[:-1])
+            signs, page = _once(signs[new], s.page[new])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(page)), pa.array(signs)], names=["site", "head"])
+
+    return run
 
 
 def _suffixes(window: int):
-    """Each head of a page once, with the page's site."""
+    """Each head of a page once whose sign is among those listed, with the page's site."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             s = _Streams([blocks(h or "")[0] for h in batch.column(1).to_pylist()], window)
-            order = np.lexsort((s.heads, s.page))
-            heads, page = s.heads[order], s.page[order]
-            first = np.ones(len(heads), bool)
-            first[1:] = (heads[1:] != heads[:-1]) | (page[1:] != page[:-1])
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(page[first])), pa.array(heads[first])], names=["site", "head"])
+            signs, cuts = s.signs(), np.searchsorted(s.page, np.arange(batch.num_rows + 1))
+            often = np.zeros(len(signs), bool)
+            for p, listed in enumerate(batch.column(2)):
+                often[cuts[p] : cuts[p + 1]] = np.isin(signs[cuts[p] : cuts[p + 1]], listed.values.to_numpy())
+            heads, page = _once(s.heads[often], s.page[often])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(page)), pa.array(heads)], names=["site", "head"])
 
     return run
 
@@ -280,10 +307,23 @@ def _uncovered(window: int, few: int):
     return run
 
 
-#: Heads of boilerplate that may be broadcast (8 bytes each), and pages that make a site a large one, of which there can't be many.
+#: Heads or signs that may be broadcast (8 bytes each), and pages that make a site a large one, of which there can't be many.
 SMALL, LARGE = 1_000_000, 100_000
 
 
+def _common(met: DataFrame, sizes: DataFrame, share: float) -> DataFrame:
+    """For each site its ``heads`` of ``met`` on at least two pages and ``share`` of all, as a small table if it is one."""
+    # combined on the map side: a head that most pages share is a row per task
+    often = checkpointed(met.groupBy("site", "head").agg(F.count("*").alias("n")).where("n > 1"))
+    # a large site's heads aren't joined on the site alone
+    large = F.broadcast(sizes.where(F.col("pages") > LARGE))
+    boiler = F.col("n") >= F.col("pages") * F.lit(share)
+    rest = often.join(large.select("site"), "site", "left_anti").join(sizes, "site").where(boiler)
+    common = checkpointed(often.join(large, "site").where(boiler).unionAll(rest).groupBy("site", "pages").agg(F.collect_list("head").alias("heads")))
+    total = common.agg(F.sum(F.size("heads"))).first()[0] or 0
+    return F.broadcast(common) if total <= SMALL else common
+
+
 def extract(pages: DataFrame, *, key: str = "page_id", url: str = "url", html: str = "html", window: int = 12, share: float = 0.5, few: int = 5) -> DataFrame:
     """``(key, url, text, n_chars)`` of every page.
 
@@ -299,15 +339,9 @@ def extract(pages: DataFrame, *, key: str = "page_id", url: str = "url", html: s
     slim = slim.withColumn("site", F.xxhash64(host(F.col("url")))).withColumn("site", F.when(host(F.col("url")).isNotNull(), F.col("site")))
     hosted = slim.where("site is not null")
     sizes = checkpointed(hosted.groupBy("site").agg(F.count("*").alias("pages")).where("pages > 1"))
-    # combined on the map side: a head that most pages share is a row per task
-    often = hosted.select("site", "html").mapInArrow(_suffixes(window), "site bigint, head bigint").groupBy("site", "head").agg(F.count("*").alias("n")).where("n > 1")
-    often = checkpointed(often)
-    # a large site's heads aren't joined on the site alone
-    large = F.broadcast(sizes.where(F.col("pages") > LARGE))
-    boiler = F.col("n") >= F.col("pages") * F.lit(share)
-    rest = often.join(large.select("site"), "site", "left_anti").join(sizes, "site").where(boiler)
-    repeated = checkpointed(often.join(large, "site").where(boiler).unionAll(rest).groupBy("site", "pages").agg(F.collect_list("head").alias("heads")))
-    total = repeated.agg(F.sum(F.size("heads"))).first()[0] or 0
-    told = slim.join(F.broadcast(repeated) if total <= SMALL else repeated, "site", "left").select("page_id", "url", "html", "pages", "heads")
+    signs = _common(hosted.select("site", "html").mapInArrow(_signs(window), "site bigint, head bigint"), sizes, share)
+    listed = hosted.join(signs, "site").select("site", "html", "heads")
+    repeated = _common(listed.mapInArrow(_suffixes(window), "site bigint, head bigint"), sizes, share)
+    told = slim.join(repeated, "site", "left").select("page_id", "url", "html", "pages", "heads")
     done = told.mapInArrow(_uncovered(window, few), "page_id bigint, url string, text string")
     return done.select(F.col("page_id").alias(key), F.col("url").alias(url), "text", F.length("text").cast("bigint").alias("n_chars"))

@@ -74,3 +74,24 @@ def test_run_inside_a_block_goes_but_for_its_ends(spark):
     for r in html.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect():
         left = set(r["text"].split()) & set(run.split())
         assert len(left) <= 22 and r["n_chars"] == len(r["text"])
+
+
+def test_every_position_counts(spark):
+    # runs at any place of a block, of exactly the window and longer, some over block ends, none left or cut at an end
+    rng = random.Random(8)
+    runs = [_words(rng, n) for n in (12, 13, 17, 30, 60)]
+    pages = []
+    for i in range(40):
+        own = []
+        for run in runs:
+            if rng.random() < 0.7:
+                words = run.split()
+                cut = rng.randrange(1, len(words)) if i % 4 == 0 else len(words)
+                own.append(f"<p>{_words(rng, rng.randrange(1, 40))} {' '.join(words[:cut])}{'</p><p>' if cut < len(words) else ' '}{' '.join(words[cut:])} {_words(rng, rng.randrange(1, 40))}</p>")
+        rng.shuffle(own)
+        pages.append((f"http://{'ab'[i % 2]}.example/{i}", f"<p>{_words(rng, 50)}</p>" + "".join(own)))
+    pages += [(f"http://c.example/{i}", f"<p>{_words(rng, 5)} {runs[0]} {_words(rng, 5)}</p>") for i in range(2)]
+    docs = spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(pages)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html.extract(docs).collect()}
+    assert got == _brute(pages)
+    assert all(not set(runs[0].split()) & set(got[i].split()) for i in (40, 41))
